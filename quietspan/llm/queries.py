@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quietspan.llm import bpe, chat
 from quietspan.llm import decontaminate as decon
-from quietspan.llm import secrets, token_counts
+from quietspan.llm import secrets, token_counts, token_files, toxicity
 from quietspan.llm.rows import table
 
 
@@ -57,7 +57,22 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))[["doc_id", "n_words", "n_tokens"]]
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "severity", "grade", "toxic")
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files.roundtrip(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
+    "op7_toxicity": op7_toxicity,
+    "op10_token_files": op10_token_files,
     "op2_chat": op2_chat,
     "op8_token_counts": op8_token_counts,
     "op1_decontaminate": op1_decontaminate,
