@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quietspan.llm import bpe, chat
 from quietspan.llm import decontaminate as decon
-from quietspan.llm import secrets, token_counts, token_files, toxicity
+from quietspan.llm import repeats, secrets, token_counts, token_files, toxicity
 from quietspan.llm.rows import table
 
 
@@ -70,7 +70,13 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.roundtrip(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES = {
+    "op3_repeats": op3_repeats,
     "op7_toxicity": op7_toxicity,
     "op10_token_files": op10_token_files,
     "op2_chat": op2_chat,
