@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quietspan.llm import bpe, chat
 from quietspan.llm import decontaminate as decon
-from quietspan.llm import repeats, secrets, token_counts, token_files, toxicity, vectors
+from quietspan.llm import neardup, repeats, secrets, token_counts, token_files, toxicity, vectors
 from quietspan.llm.rows import table
 
 
@@ -79,7 +79,13 @@ def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.classes(docs).select("doc_id", "class_id", F.col("stays").alias("kept"))
+
+
 QUERIES = {
+    "op5_neardup": op5_neardup,
     "op6_vectors": op6_vectors,
     "op3_repeats": op3_repeats,
     "op7_toxicity": op7_toxicity,
