@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from functools import lru_cache, partial
 
 import numpy as np
@@ -32,15 +31,13 @@ from pyspark.sql import types as T
 
 from quietspan.llm.rows import append_columns
 
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 200_000
 BLOCK_BYTES = 1 << 19
 BLOCK_TOKENS = 1 << 18
 BLOCK_CHARS = 1 << 21
 LONG_PIECE = 96
 #: Unicode White_Space, which the pattern's \s stands for.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Texts in which single spaces and line feeds are the only white space: every space then starts a piece.
-_ODD_SPACE = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]")
 
 _LEFTMOST = "SELECT s.step, s.piece, s.pos, s.k IS NOT DISTINCT FROM g.least AS take, s.k, s.id FROM state s JOIN least g USING (piece)"
 _EVERY_SECOND = """SELECT step, piece, pos, k, id, same AND (rn - coalesce(max(CASE WHEN NOT same THEN rn END) OVER (ORDER BY pos), 0)) % 2 = 1 AS take
@@ -83,6 +80,31 @@ def load_ranks(path: str) -> list[tuple[bytes, int]]:
         return [(base64.b64decode(a), int(b)) for a, b in map(bytes.split, f) if a]
 
 
+class Recent:
+    """A bounded table: when ``limit`` new entries are in, those not used since the last time are dropped."""
+
+    def __init__(self, limit: int = CACHE_ENTRIES):
+        self.now: dict = {}
+        self.past: dict = {}
+        self.limit = limit
+
+    def turn(self) -> None:
+        if len(self.now) > self.limit:
+            self.now, self.past = {}, self.now
+
+    def unknown(self, keys: set) -> set:
+        """The keys it does not have; all others are in ``now`` then."""
+        keys = keys - self.now.keys()
+        known = keys & self.past.keys()
+        self.now.update((k, self.past[k]) for k in known)
+        return keys - known
+
+
+def single_spaced(text: str) -> bool:
+    """Whether single spaces and line feeds are the only white space, none at the ends: every space then starts a piece."""
+    return not (text[0].isspace() or text[-1].isspace() or "  " in text or "\n " in text or " \n" in text or "\n\n" in text) and len(text.split()) == text.count(" ") + text.count("\n") + 1
+
+
 class Coder:
     """A vocabulary and its merge table in DuckDB, with the chunks encoded so far."""
 
@@ -100,8 +122,7 @@ class Coder:
         self._table("merges", pa.table({"l": left, "r": right, "rank": rank}))
         self._table("vocabulary", pa.table({"id": pa.array([r for _, r in ranks], pa.int32()), "hex": [t.hex() for t, _ in ranks]}))
         self.queries = [_ENCODE.replace("{chosen}", x) for x in (_LEFTMOST, _EVERY_SECOND)]
-        self.plain: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        self.plain, self.spaced, self.pieces = Recent(), Recent(), Recent()
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.db.register("given", rows)
@@ -143,31 +164,44 @@ class Coder:
                     held += len(p)
         return done
 
+    def _cut(self, chunk: str) -> list[str]:
+        """Pieces of a chunk. Letters after at most one space, with one point or comma, are the common case."""
+        body = chunk[1:] if chunk[:1] == " " else chunk
+        if body.isalpha():
+            return [chunk]
+        if body[-1:] in (",", ".") and body[:-1].isalpha():
+            return [chunk[:-1], body[-1]]
+        return self.pattern.findall(chunk)
+
     def _learn(self, plain: set[str], spaced: set[str]) -> None:
-        cut = {(c, False): self.pattern.findall(c) for c in plain} | {(c, True): self.pattern.findall(f" {c}") for c in spaced}
-        ids = self.encode_pieces(list({p.encode() for some in cut.values() for p in some}))
-        for (chunk, space), some in cut.items():
-            (self.spaced if space else self.plain)[chunk] = b"".join([ids[p.encode()] for p in some])
+        cut = [(self.plain.now, c, self._cut(c)) for c in plain] + [(self.spaced.now, c, self._cut(" " + c)) for c in spaced]
+        wanted: set[str] = set()
+        for _, _, some in cut:
+            wanted.update(some)
+        new = self.pieces.unknown(wanted)
+        ids = self.encode_pieces([p.encode() for p in new])
+        known = self.pieces.now
+        known.update((p, ids[p.encode()]) for p in new)
+        for table, chunk, some in cut:
+            table[chunk] = known[some[0]] if len(some) == 1 else b"".join([known[p] for p in some])
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
-        if len(self.plain) + len(self.spaced) > CACHE_ENTRIES:
-            self.plain.clear()
-            self.spaced.clear()
-        cut, plain, spaced = [], set(), set()
+        for cache in (self.plain, self.spaced, self.pieces):
+            cache.turn()
+        cut, plain, spaced = [], {"\n"}, set()
         for t in texts:
-            if _ODD_SPACE.search(t):
-                lines = None
-                parts = self.pattern.findall(t)
+            if not t or not single_spaced(t):
+                lines, parts = None, self.pattern.findall(t)
                 plain.update(parts)
             else:
-                lines = [line.split(" ") for line in t.split("\n")] if t else []
-                parts = None
+                lines, parts = [line.split(" ") for line in t.split("\n")], None
                 plain.update([line[0] for line in lines])
                 for line in lines:
                     spaced.update(line[1:])
             cut.append((lines, parts))
-        self._learn({*plain, "\n"} - self.plain.keys(), spaced - self.spaced.keys())
-        feed, p, s = self.plain["\n"], self.plain, self.spaced
+        self._learn(self.plain.unknown(plain), self.spaced.unknown(spaced))
+        p, s = self.plain.now, self.spaced.now
+        feed = p["\n"]
         return [b"".join([p[x] for x in parts]) if lines is None else feed.join([p[line[0]] + b"".join([s[x] for x in line[1:]]) for line in lines]) for lines, parts in cut]
 
     def encode(self, texts: list[str]) -> list[bytes]:
