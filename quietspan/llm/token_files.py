@@ -31,50 +31,123 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quietspan.llm.bpe import _Shared
+from quietspan.llm import rolling
+from quietspan.llm.bpe import Recent, _Shared
 from quietspan.llm.rows import shared_dir
+from quietspan.llm.token_counts import byte_alphabet
 
 END_ID = 2
 SHARD_IDS = 1 << 20
-CACHE_CHUNKS = 250_000
+BLOCK_DOCS = 512
+CACHE_CHUNKS = 350_000
 MAGIC = b"QSRP1\0\0\0"
 ROUNDS = 5
 MIN_COUNT = 64
 MAX_RULES = 4096
-_BINS = 20
+_BINS = 17
+#: Byte classes of plain texts: white space, letters, digits, other marks; 4 is anything that is not plain.
+_CLASS = bytes(0 if b in b" \n\t\r" else 4 if b < 32 or b == 127 or b == 0xC2 or b > 0xC3 else 1 if b >= 128 or chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256))
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: What makes a text not plain beside its bytes: the two marks among the letters, contractions, special tokens.
+_NOT_PLAIN = re.compile(rb"\xc3[\x97\xb7]|'[stmdrlvSTMDRLV]|<\|")
 #: Texts with other white space than this, with control characters that some take for it, or with "<|" go to the library whole.
 _ODD = re.compile(r"[^\S \n\t\r]|<\|")
 
 
 class Encoder:
-    """The tokenizers library behind a table of the chunks (between white space) it has encoded; pieces never cross white space."""
+    """The tokenizers library behind tables of the chunks and words it has encoded lately.
+
+    Plain texts (ASCII and the letters of U+00C0 to U+00FF, without contractions) are cut into words for
+    a whole block at once, by byte class; words are told apart by a 64-bit hash of their lower-case
+    bytes, and only words not met lately go to the library's model. In other texts pieces never cross white space, so each chunk between it is encoded by itself. Chunks of characters
+    below U+0250 (which NFC leaves as they are) are lower-cased and cut here by the vocabulary's own
+    pattern, and each new word goes to the library's model; all others go through the whole library.
+    """
 
     def __init__(self, spec: str):
+        import json
+
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.chunks: dict[str, bytes] = {}
-
-    def _learn(self, new: list[str]) -> None:
-        for i in range(0, len(new), 8192):
-            some = new[i : i + 8192]
-            starts = np.cumsum([0, *(len(c) + 1 for c in some)])
-            code = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(code.ids, "<u4")
-            at = np.array([a for a, _ in code.offsets], np.int64).reshape(-1)
-            cut = np.searchsorted(at, starts)
-            for c, a, b in zip(some, cut, cut[1:]):
-                self.chunks[c] = ids[a:b].tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > CACHE_CHUNKS:
-            self.chunks.clear()
+        self.model = self.tokenizer.model
+        parts = json.loads(spec)["pre_tokenizer"]
+        pattern = next(p["pattern"]["Regex"] for p in parts.get("pretokenizers", [parts]) if p["type"] == "Split")
+        self.pattern = regex.compile(pattern)
+        self.letters = {b: c for c, b in byte_alphabet().items()}
+        self.chunks, self.words, self.hashed = Recent(CACHE_CHUNKS // 2), Recent(CACHE_CHUNKS // 2), Recent(CACHE_CHUNKS)
+
+    def _word(self, word: str) -> bytes:
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+
+    def _cut(self, chunk: str) -> list[str]:
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[-1] in ",." and chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self.pattern.findall(chunk)
+
+    def _learn(self, new: set[str]) -> None:
+        plain = [c for c in new if c.isascii() or max(c) < "\u0250"]
+        cut = [self._cut(c.lower()) for c in plain]
+        wanted: set[str] = set()
+        for words in cut:
+            wanted.update(words)
+        for w in self.words.unknown(wanted):
+            self.words.now[w] = self._word(w)
+        known, chunks = self.words.now, self.chunks.now
+        for c, words in zip(plain, cut, strict=True):
+            chunks[c] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
+        rest = sorted(new - set(plain))
+        for i in range(0, len(rest), 8192):
+            for c, code in zip(rest[i : i + 8192], self.tokenizer.encode_batch(rest[i : i + 8192], add_special_tokens=False), strict=True):
+                chunks[c] = np.array(code.ids, "<u4").tobytes()
+
+    def encode(self, raw: list[bytes]) -> list[bytes]:
+        """Ids of UTF-8 texts, little-endian unsigned 32-bit."""
+        for cache in (self.chunks, self.words, self.hashed):
+            cache.turn()
+        plain = [b"\x04" not in t.translate(_CLASS) and not _NOT_PLAIN.search(t) for t in raw]
+        fast = iter(self._plain([t for t, p in zip(raw, plain) if p]))
+        slow = iter(self._others([t.decode("utf-8", "replace") for t, p in zip(raw, plain) if not p]))
+        return [next(fast if p else slow) for p in plain]
+
+    def _plain(self, raw: list[bytes]) -> list[bytes]:
+        if not raw:
+            return []
+        data = np.frombuffer(b"\n".join(raw).translate(_LOWER), np.uint8).copy()
+        data[1:][(data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)] += 0x20
+        kind = np.frombuffer(data.tobytes().translate(_CLASS), np.uint8)
+        before = np.concatenate(([0], kind[:-1])) if len(kind) else kind
+        start = np.flatnonzero((kind != 0) & ((kind != before) | (kind == 2)))
+        if not len(start):
+            return [b""] * len(raw)
+        stop = np.flatnonzero((kind != 0) & np.concatenate(((kind[1:] != kind[:-1]) | (kind[1:] == 2), [True]))) + 1
+        words, first, which = np.unique(rolling.spans(rolling.prefix(data), start, stop), return_index=True, return_inverse=True)
+        at = dict(zip(words.tolist(), first.tolist(), strict=True))
+        text, now = data.tobytes(), self.hashed.now
+        for h in self.hashed.unknown(set(at)):
+            i = at[h]
+            now[h] = self._word(text[start[i] : stop[i]].decode())
+        codes = [now[h] for h in words.tolist()]
+        size = np.array([len(c) // 4 for c in codes])
+        pool, base = np.frombuffer(b"".join(codes), "<u4"), np.cumsum(size) - size
+        n = size[which]
+        ends = np.cumsum(n)
+        ids = pool[np.repeat(base[which] - (ends - n), n) + np.arange(ends[-1])]
+        texts = np.cumsum([len(t) + 1 for t in raw])
+        cut = np.concatenate(([0], ends))[np.searchsorted(start, np.concatenate(([0], texts)))]
+        return [ids[a:b].tobytes() for a, b in zip(cut, cut[1:])]
+
+    def _others(self, texts: list[str]) -> list[bytes]:
         cut = [None if _ODD.search(t) else t.split() for t in texts]
         new: set[str] = set()
         for parts in cut:
             new.update(parts or ())
-        self._learn(sorted(new - self.chunks.keys()))
-        get = self.chunks.__getitem__
+        self._learn(self.chunks.unknown(new))
+        get = self.chunks.now.__getitem__
         return [b"".join(map(get, parts)) if parts is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, parts in zip(texts, cut, strict=True)]
 
 
@@ -86,14 +159,29 @@ def _encoder(key: str, shared) -> Encoder:
 # --- the grammar
 
 
-def _frequent(x: np.ndarray) -> np.ndarray:
-    """Pairs (left << 32 | right) that stand at ``MIN_COUNT`` places or more, most frequent first."""
-    key = x[:-1].astype(np.uint64) << np.uint64(32) | x[1:].astype(np.uint64)
-    bin_ = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _BINS)).astype(np.int64)
-    heavy = key[(np.bincount(bin_, minlength=1 << _BINS) >= MIN_COUNT)[bin_]]
-    pairs, counts = np.unique(heavy, return_counts=True)
+def _round(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where one round replaces pairs, the number of each place's rule, and the rules' pairs, most frequent first.
+
+    Pairs are told apart by a hash into bins. A bin stands for one of its pairs, whose places are counted
+    exactly; another pair of the bin waits for a later round.
+    """
+    key = x[:-1].astype(np.uint64) << np.uint64(32) | x[1:]
+    bin_ = ((x[:-1] * np.uint32(0x9E3779B1) ^ x[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _BINS)).astype(np.intp)
+    pair = np.zeros(1 << _BINS, np.uint64)
+    pair[bin_] = key
+    own = pair[bin_] == key
+    counts = np.bincount(np.where(own, bin_, 1 << _BINS), minlength=1 << _BINS)[: 1 << _BINS]
     some = np.flatnonzero(counts >= MIN_COUNT)
-    return pairs[some[np.argsort(-counts[some], kind="stable")][:MAX_RULES]]
+    some = some[np.argsort(-counts[some], kind="stable")][:MAX_RULES]
+    none = len(some)
+    rank_of = np.full(1 << _BINS, none, np.int32)
+    rank_of[some] = np.arange(none)
+    rank = np.where(own, rank_of[bin_], none)
+    take = rank < none
+    take[1:] &= rank[1:] < rank[:-1]
+    take[:-1] &= rank[:-1] <= rank[1:]
+    at = np.flatnonzero(take)
+    return at, rank[at], pair[some]
 
 
 def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -102,26 +190,15 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, list[np.ndarray]]:
     for _ in range(ROUNDS):
         if len(x) < 2 * MIN_COUNT:
             break
-        chosen = _frequent(x)
-        if not len(chosen):
-            break
-        order = np.argsort(chosen)
-        key = x[:-1].astype(np.uint64) << np.uint64(32) | x[1:].astype(np.uint64)
-        spot = np.searchsorted(chosen[order], key)
-        spot[spot == len(chosen)] = 0
-        rank = np.where(chosen[order][spot] == key, order[spot], len(chosen))  # len(chosen): no rule
-        left = np.concatenate(([len(chosen)], rank[:-1]))
-        right = np.concatenate((rank[1:], [len(chosen)]))
-        take = np.flatnonzero((rank < len(chosen)) & (rank < left) & (rank <= right))
-        take = take[np.concatenate(([True], np.diff(take) > 1))] if len(take) else take
-        if not len(take):
+        at, rank, pairs = _round(x)
+        if not len(at):
             break
-        used, number = np.unique(rank[take], return_inverse=True)
-        pairs = chosen[used]
         rules.append(np.stack((pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)), 1).astype(np.uint32))
-        x[take] = top + number
-        x = np.delete(x, take + 1)
-        top += len(used)
+        x[at] = (top + rank).astype(np.uint32)
+        keep = np.ones(len(x), bool)
+        keep[at + 1] = False
+        x = x[keep]
+        top += len(pairs)
     return x, rules
 
 
@@ -129,13 +206,15 @@ def expand(x: np.ndarray, rules: list[np.ndarray], base: int) -> np.ndarray:
     top = base + sum(map(len, rules))
     for level in reversed(rules):
         top -= len(level)
-        rule = x >= top
-        out = np.empty(len(x) + int(rule.sum()), np.uint32)
-        at = np.arange(len(x)) + np.concatenate(([0], np.cumsum(rule)[:-1])) if len(x) else np.empty(0, np.int64)
-        out[at[~rule]] = x[~rule]
-        both = level[x[rule] - top]
-        out[at[rule]], out[at[rule] + 1] = both[:, 0], both[:, 1]
-        x = out
+        at = np.flatnonzero(x >= top)
+        if not len(at):
+            continue
+        both = level[x[at] - np.uint32(top)]
+        times = np.ones(len(x), np.int8)
+        times[at] = 2
+        x = np.repeat(x, times)
+        at = at + np.arange(len(at))
+        x[at], x[at + 1] = both[:, 0], both[:, 1]
     return x
 
 
@@ -236,8 +315,8 @@ def _pack(batches, shared, shard_ids, end_id):
 
     for batch in batches:
         keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for i in range(0, len(texts), 256):
-            for key, code in zip(keys[i : i + 256], encoder.encode([t or "" for t in texts[i : i + 256]]), strict=True):
+        for i in range(0, len(texts), BLOCK_DOCS):
+            for key, code in zip(keys[i : i + BLOCK_DOCS], encoder.encode([t or b"" for t in texts[i : i + BLOCK_DOCS]]), strict=True):
                 docs.append(key)
                 ids.append(code + end)
                 held += len(code) // 4 + 1
@@ -253,9 +332,9 @@ def write(docs: DataFrame, vocabulary_path: str, out: str, id_col: str = "doc_id
     with open(vocabulary_path, encoding="utf-8") as f:
         spec = f.read()
     shared = _Shared(docs.sparkSession.sparkContext.broadcast(spec), hashlib.sha256(spec.encode()).hexdigest())
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     tie = F.xxhash64("text")
-    dealt = rows.repartitionByRange(F.col("id").asc_nulls_first(), tie).sortWithinPartitions(F.col("id").asc_nulls_first(), tie, "text")
+    dealt = rows.repartitionByRange(F.col("id").asc_nulls_first(), tie).sortWithinPartitions(F.col("id").asc_nulls_first(), tie, "text").select("id", F.encode("text", "utf-8").alias("text"))
     dealt.mapInArrow(partial(_pack, shared=shared, shard_ids=shard_ids, end_id=end_id), _SHARDS).write.parquet(out)
 
 
