@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from functools import lru_cache, partial
 
 from pyspark.sql import DataFrame
@@ -29,6 +30,7 @@ from quietspan.llm.rows import append_columns
 
 CACHE_WORDS = 300_000
 END = "</w>"
+_CONTROL = re.compile("[\x1c-\x1f]")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -120,7 +122,10 @@ class Counter:
         """(words, tokens). Words never cross white space, so chunks between it are counted once each."""
         if len(self.chunks) > CACHE_WORDS:
             self.chunks.clear()
-        known, chunks = self.chunks, text.lower().split()
+        text = text.lower()
+        if _CONTROL.search(text):  # marks for the pattern, white space for split()
+            return self.chunk(text)
+        known, chunks = self.chunks, text.split()
         for c in set(chunks) - known.keys():
             known[c] = self.chunk(c)
         counts = [known[c] for c in chunks]
