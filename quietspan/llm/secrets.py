@@ -15,7 +15,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +45,8 @@ _RANK = {w: i + 1 for i, w in reversed(list(enumerate(COMMON)))}
 _LONGEST = max(map(len, COMMON))
 _KEYBOARD = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _PLACE = {c: (r, k) for r, row in enumerate(_KEYBOARD) for k, c in enumerate(row)}
-_DATE = re.compile(r"(?:(?:19|20)\d\d([-/.]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/.]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d)")
+_DATE = re.compile(r"(?:19|20)\d\d([-/.]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/.]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d", re.A)
+_DATE_SIZES = (4, 8, 10)
 
 
 def _near(a: str, b: str) -> bool:
@@ -67,9 +67,12 @@ def _runs(s: str, joined) -> list[int]:
     return first
 
 
-@lru_cache(maxsize=4096)
 def guess_cost(value: str) -> float:
-    """log10 of the guesses of the cheapest segmentation (each segment beyond the first costs a factor 2 more, for its bounds)."""
+    """log10 of the guesses of the cheapest segmentation.
+
+    A segment that is not brute force costs a factor 2 more, for its bounds. Repeats, walks and sequences
+    have three places or more and begin where their run begins.
+    """
     low, n = value.lower(), len(value)
     repeat = _runs(low, lambda i: low[i] == low[i - 1])
     walk = _runs(low, lambda i: _near(low[i - 1], low[i]))
@@ -80,8 +83,10 @@ def guess_cost(value: str) -> float:
             sequence[i] = sequence[i - 1] if step[i] == step[i - 1] else i - 1
     dates: dict[int, list[int]] = {}
     for i in range(n):
-        if low[i].isdigit() and (m := _DATE.match(low, i)):
-            dates.setdefault(m.end(), []).append(i)
+        if low[i] in "0123":
+            for end in (i + size for size in _DATE_SIZES):
+                if end <= n and _DATE.fullmatch(low, i, end):
+                    dates.setdefault(end, []).append(i)
     best = [0.0] * (n + 1)
     for end in range(1, n + 1):
         i = end - 1
