@@ -1,7 +1,7 @@
 """Toxicity by cumulative-link ordinal regression over sparse text features.
 
-Features are the distinct words of a text and their prefixes of 4, 5 and 6 bytes, hashed to
-``2**HASH_BITS`` places. The model has one weight vector for all grades and one threshold per
+Features are the words of a text and their prefixes of 4, 5 and 6 bytes, hashed to ``2**HASH_BITS``
+places; a feature's value is 1 + log2 of its count, at most ``MAX_VALUE``. The model has one weight vector for all grades and one threshold per
 grade: P(grade >= k) = sigmoid(w.x - b_k) with rising b_k. It gives each text its expected severity,
 the sum of those probabilities; texts with P(grade >= 1) over one half are toxic.
 
@@ -34,22 +34,27 @@ PREFIXES = (4, 5, 6)
 MAX_LABELLED = 5000
 MAX_FEATURES = 4096
 GRADES = 3
-MIN_TEXTS = 4
+MAX_VALUE = 4.0
+#: Least weight of evidence of a fitted feature: its log odds over their standard error.
+MIN_EVIDENCE = 3.0
+#: How far the classes are evened out: 0 not at all, 1 wholly.
+BALANCE = 0.5
 
 
-def features(text: bytes | None) -> np.ndarray:
-    """Distinct hashed features of a text, ascending."""
+def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashed features of a text, ascending, and their values."""
     if not text:
-        return np.empty(0, np.int32)
+        return np.empty(0, np.int32), np.empty(0, np.float32)
     start, end = textnorm.word_byte_offsets(text)
     if not len(start):
-        return np.empty(0, np.int32)
+        return np.empty(0, np.int32), np.empty(0, np.float32)
     sums = rolling.prefix(np.frombuffer(text.translate(textnorm.TABLE), np.uint8))
     found = [rolling.spans(sums, start, end)]
     for n in PREFIXES:
         some = start[end - start > n]
         found.append(rolling.mix(rolling.spans(sums, some, some + n), n))
-    return np.unique((np.concatenate(found) >> np.uint64(64 - HASH_BITS)).astype(np.int32))
+    index, counts = np.unique((np.concatenate(found) >> np.uint64(64 - HASH_BITS)).astype(np.int32), return_counts=True)
+    return index, np.minimum(1 + np.log2(counts), MAX_VALUE).astype(np.float32)
 
 
 @dataclass
@@ -68,41 +73,42 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(rows: list[np.ndarray], toxic: np.ndarray, steps: int = 400, l2: float = 1e-3) -> Model:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, steps: int = 400, l2: float = 1e-4) -> Model:
     """Fit on feature arrays and 0/1 labels."""
     toxic = np.asarray(toxic, bool)
     if not toxic.any() or toxic.all():
         return Model(np.empty(0, np.int32), np.empty(0), np.full(GRADES, 40.0))
-    flat = np.concatenate(rows)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    flat, values = (np.concatenate([r[c] for r in rows]) for c in (0, 1))
+    owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     size = 1 << HASH_BITS
     pos = np.bincount(flat[toxic[owner]], minlength=size)
     neg = np.bincount(flat[~toxic[owner]], minlength=size)
     odds = np.log((pos + 0.5) / (toxic.sum() + 1)) - np.log((neg + 0.5) / ((~toxic).sum() + 1))
-    odds[pos + neg < MIN_TEXTS] = 0
-    telling = np.abs(odds) * np.sqrt(pos + neg)
-    index = np.sort(np.argsort(-telling, kind="stable")[:MAX_FEATURES]).astype(np.int32)
+    evidence = np.abs(odds) / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
+    best = np.argsort(-evidence, kind="stable")[:MAX_FEATURES]
+    index = np.sort(best[evidence[best] >= MIN_EVIDENCE]).astype(np.int32)
     strong = np.zeros(size, bool)
     strong[index] = odds[index] > 2
-    hits = np.bincount(owner, weights=strong[flat], minlength=len(rows))
+    hits = np.bincount(owner, weights=strong[flat] * values, minlength=len(rows))
     cuts = np.quantile(hits[toxic], [i / GRADES for i in range(1, GRADES)])
     grade = np.where(toxic, 1 + np.searchsorted(cuts, hits, side="right"), 0)
 
     column = np.full(size, -1, np.int32)
     column[index] = np.arange(len(index))
     use = column[flat] >= 0
-    col, row = column[flat[use]], owner[use]
+    col, row, x = column[flat[use]], owner[use], values[use]
     target = (grade[:, None] > np.arange(GRADES)[None, :]).astype(float)
-    share = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())[:, None]
+    share = np.where(toxic, float(toxic.sum()) ** -BALANCE, float((~toxic).sum()) ** -BALANCE)[:, None]
+    share = share / share.sum()
     w, gap = np.zeros(len(index)), np.concatenate(([1.0], np.zeros(GRADES - 1)))  # thresholds: first, then logs of the gaps
     mean, square = np.zeros(len(w) + GRADES), np.zeros(len(w) + GRADES)
     for t in range(1, steps + 1):
         b = gap[0] + np.concatenate(([0.0], np.cumsum(np.exp(gap[1:]))))
-        score = np.bincount(row, weights=w[col], minlength=len(rows))
+        score = np.bincount(row, weights=w[col] * x, minlength=len(rows))
         d = (_sigmoid(score[:, None] - b) - target) * share
         db = -d.sum(0)
         after = np.cumsum(db[::-1])[::-1]
-        grad = np.concatenate((np.bincount(col, weights=d.sum(1)[row], minlength=len(w)) + l2 * w, [after[0]], after[1:] * np.exp(gap[1:])))
+        grad = np.concatenate((np.bincount(col, weights=d.sum(1)[row] * x, minlength=len(w)) + l2 * w, [after[0]], after[1:] * np.exp(gap[1:])))
         mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad**2
         move = 0.05 * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-10)
         w, gap = w - move[: len(w)], gap - move[len(w) :]
@@ -117,9 +123,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ids = picked[0].unionByName(picked[1])
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "__id").select("__id", "__toxic", "text")
     fields = T.StructType([T.StructField("features", T.BinaryType())])
-    made = append_columns(texts, "text", fields, lambda: lambda rows, _: [[features(t).astype("<i4").tobytes() for t in rows]]).select("__id", "__toxic", "features")
+    made = append_columns(texts, "text", fields, lambda: lambda rows, _: [[_packed(t) for t in rows]]).select("__id", "__toxic", "features")
     rows = sorted((r[0], r[1], bytes(r[2])) for r in made.toLocalIterator())
-    return fit([np.frombuffer(f, "<i4") for _, _, f in rows], np.array([t for _, t, _ in rows], int))
+    return fit([_unpacked(f) for _, _, f in rows], np.array([t for _, t, _ in rows], int))
+
+
+def _packed(text: bytes | None) -> bytes:
+    index, values = features(text)
+    return index.astype("<i4").tobytes() + values.astype("<f4").tobytes()
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    half = len(raw) // 2
+    return np.frombuffer(raw, "<i4", half // 4), np.frombuffer(raw, "<f4", half // 4, half)
 
 
 _FIELDS = T.StructType([T.StructField("severity", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("p_toxic", T.DoubleType()), T.StructField("toxic", T.BooleanType())])
@@ -130,8 +146,7 @@ def _make(shared):
     weights = model.table()
 
     def run(texts, _):
-        found = [features(t) for t in texts]
-        score = np.array([float(weights[f].sum(dtype=np.float64)) for f in found])
+        score = np.array([float((weights[index] * values).sum(dtype=np.float64)) for index, values in map(features, texts)])
         p = _sigmoid(score[:, None] - model.threshold[None, :]) if len(score) else np.empty((0, len(model.threshold)))
         return [np.round(p.sum(1), 6).tolist(), (p > 0.5).sum(1).tolist(), np.round(p[:, 0], 6).tolist(), (p[:, 0] > 0.5).tolist()]
 
