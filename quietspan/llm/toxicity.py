@@ -79,7 +79,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, steps: int
     if not toxic.any() or toxic.all():
         return Model(np.empty(0, np.int32), np.empty(0), np.full(GRADES, 40.0))
     flat, values = (np.concatenate([r[c] for r in rows]) for c in (0, 1))
-    owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
     size = 1 << HASH_BITS
     pos = np.bincount(flat[toxic[owner]], minlength=size)
     neg = np.bincount(flat[~toxic[owner]], minlength=size)
@@ -124,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "__id").select("__id", "__toxic", "text")
     fields = T.StructType([T.StructField("features", T.BinaryType())])
     made = append_columns(texts, "text", fields, lambda: lambda rows, _: [[_packed(t) for t in rows]]).select("__id", "__toxic", "features")
-    rows = sorted((r[0], r[1], bytes(r[2])) for r in made.toLocalIterator())
+    rows = sorted(((r[0], r[1], bytes(r[2])) for r in made.toLocalIterator()), key=lambda r: r[:2])
     return fit([_unpacked(f) for _, _, f in rows], np.array([t for _, t, _ in rows], int))
 
 
