@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -151,35 +151,33 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     nodes = materialise(nodes, "neardup-nodes")
 
     bucket = materialise(nodes.select(F.posexplode("sketches").alias("i", "sketch"), "node").select(F.xxhash64("i", "sketch").alias("bucket"), "i", "node"), "neardup-buckets")
-    judged, texts, depth = None, None, 0
+    verdicts: list[DataFrame] = []
+    texts, depth = None, 0
     while True:
         least = bucket.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("bucket", "least")
         met = materialise(bucket.join(least, "bucket").where("node <> least"), "neardup-met")
+        if verdicts and met.isEmpty():
+            break
         pairs = met.select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-        if judged is not None:
-            pairs = pairs.join(judged, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "neardup-pairs")
-        if pairs.isEmpty() and judged is not None:
-            new = judged.limit(0)
+        if texts is None:  # later rounds ask for none but these
+            pairs = materialise(pairs, "neardup-pairs")
+            asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+            asked = asked.join(nodes.select("node", F.col("row.id").alias("nid"), F.col("row.th").alias("th")), "node")
+            texts = rows.join(asked, "th").where(F.col("id").eqNullSafe(F.col("nid")))
+            texts = materialise(texts.groupBy("node").agg(F.first(F.encode("text", "utf-8")).alias("text")), "neardup-texts")
         else:
-            if texts is None:  # later rounds ask for none but these
-                asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-                asked = asked.join(nodes.select("node", F.col("row.id").alias("nid"), F.col("row.th").alias("th")), "node")
-                texts = rows.join(asked, "th").where(F.col("id").eqNullSafe(F.col("nid")))
-                texts = materialise(texts.groupBy("node").agg(F.first(F.encode("text", "utf-8")).alias("text")), "neardup-texts")
-            both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
-            new = both.sortWithinPartitions("b").select("a", "ta", "b", "tb").mapInArrow(partial(_verify, threshold=threshold), _VERDICT)
-            new = materialise(new, "neardup-verdicts")
-        judged = new if judged is None else materialise(judged.unionByName(new), "neardup-verdicts")
+            pairs = pairs.join(reduce(DataFrame.unionByName, verdicts), ["a", "b"], "left_anti")
+        both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
+        new = both.sortWithinPartitions("b").select("a", "ta", "b", "tb").mapInArrow(partial(_verify, threshold=threshold), _VERDICT)
+        verdicts.append(materialise(new, "neardup-verdicts"))
+        judged = reduce(DataFrame.unionByName, verdicts)
         # Buckets in which a comparison failed go on, without their least node, split by another sketch.
         against = met.join(judged.withColumnsRenamed({"a": "node", "b": "least"}), ["node", "least"])
         failed = against.groupBy("bucket").agg(F.min("linked").alias("all")).where("not all").select("bucket")
-        open_ = met.join(failed, "bucket")
         depth += 1
         other = F.element_at("sketches", ((F.col("i") + depth) % SKETCHES + 1).cast("int"))
-        bucket = materialise(open_.join(nodes.select("node", "sketches"), "node").select(F.xxhash64("bucket", other).alias("bucket"), "i", "node"), "neardup-buckets")
-        if bucket.groupBy("bucket").count().where("count > 1").isEmpty():
-            break
+        bucket = met.join(failed, "bucket").join(nodes.select("node", "sketches"), "node")
+        bucket = materialise(bucket.select(F.xxhash64("bucket", other).alias("bucket"), "i", "node"), "neardup-buckets")
 
     links = judged.where("linked")
     reach = components(links, "a", "b")
