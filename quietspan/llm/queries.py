@@ -100,6 +100,21 @@ QUERIES = {
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 SQL = {
+    "op3_repeats": """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, hash(substr(x, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, x, unnest(range(0, greatest(0, length(x) // 2 - 399))) AS i FROM h)),
+s AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT doc_id, i, sum(CASE WHEN i - b <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS n
+      FROM (SELECT doc_id, i, lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM s)),
+v AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS z FROM g GROUP BY doc_id, n),
+c AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM v),
+r AS (SELECT c.doc_id, sum(z - a) AS n_removed, count(*) AS n_spans,
+        string_agg(substr(x, 2 * b + 1, 2 * (a - b)), '' ORDER BY a) || substr(any_value(x), 2 * max(z) + 1) AS kept
+      FROM c JOIN h USING (doc_id) GROUP BY c.doc_id)
+SELECT doc_id, length(x) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM h LEFT JOIN r USING (doc_id)
+""",
     "op6_vectors": r"""
 WITH RECURSIVE v AS MATERIALIZED (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
