@@ -102,7 +102,9 @@ _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRS
 SQL = {
     "op3_repeats": """
 WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-w AS (SELECT doc_id, i, hash(substr(x, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, x, unnest(range(0, greatest(0, length(x) // 2 - 399))) AS i FROM h)),
+c2 AS (SELECT doc_id, j, substr(x, 800 * j + 1, 1600) AS c FROM (SELECT doc_id, x, unnest(range(0, length(x) // 800 + 1)) AS j FROM h)),
+w AS (SELECT doc_id, 400 * j + o AS i, hash(substr(c, 2 * o + 1, 800)) AS k
+      FROM (SELECT doc_id, j, c, unnest(range(0, least(400, length(c) // 2 - 399))) AS o FROM c2 WHERE length(c) >= 800)),
 s AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
 g AS (SELECT doc_id, i, sum(CASE WHEN i - b <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS n
       FROM (SELECT doc_id, i, lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM s)),
