@@ -23,7 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,7 @@ CACHE_ENTRIES = 300_000
 BLOCK_BYTES = 1 << 19
 BLOCK_TOKENS = 1 << 18
 BLOCK_CHARS = 1 << 21
+BLOCK_TEXTS = 1024
 LONG_PIECE = 96
 #: Unicode White_Space, which the pattern's \s stands for.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -125,7 +126,7 @@ class Coder:
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in ranks for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         left, right, rank = np.array(pairs, np.int32).reshape(-1, 3).T
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         self._table("merges", pa.table({"l": left, "r": right, "rank": rank}))
         self._table("vocabulary", pa.table({"id": pa.array([r for _, r in ranks], pa.int32()), "hex": [t.hex() for t, _ in ranks]}))
         self.queries = [_ENCODE.replace("{chosen}", x) for x in (_LEFTMOST, _EVERY_SECOND)]
@@ -278,11 +279,6 @@ class Coder:
                 yield doc, bytes.fromhex(text)
 
 
-@lru_cache(maxsize=1)
-def _coder(key: str, pattern: str, shared) -> Coder:
-    return Coder(shared(), pattern)
-
-
 class _Shared:
     """A broadcast value that compares by its digest, so a reused Python worker keeps its coder."""
 
@@ -304,9 +300,9 @@ _DIGESTS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256",
 
 
 def _make_encode(shared, pattern, keep_ids, digests):
-    coder = _coder(shared.key, pattern, shared)
+    coder = Coder(shared(), pattern)  # of this task only: a reused Python worker holds no tables between stages
 
-    def run(texts, _):
+    def some(texts):
         ids = coder.encode([t or "" for t in texts])
         out = [ids] if keep_ids else []
         if digests:
@@ -316,11 +312,15 @@ def _make_encode(shared, pattern, keep_ids, digests):
             out += [[len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [x.hexdigest() for x in sums]]
         return out
 
+    def run(texts, _):
+        blocks = [some(texts[i : i + BLOCK_TEXTS]) for i in range(0, len(texts), BLOCK_TEXTS)] or [some([])]
+        return [[x for b in blocks for x in b[c]] for c in range(len(blocks[0]))]
+
     return run
 
 
 def _make_decode(shared, pattern):
-    coder = _coder(shared.key, pattern, shared)
+    coder = Coder(shared(), pattern)  # of this task only: a reused Python worker holds no tables between stages
 
     def run(_, batch):
         ids = [x or b"" for x in batch.column("ids").to_pylist()]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Callable
@@ -19,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _give_back() -> None:
+    """Return what a task freed to the system: a reused Python worker would hold it through stages that need none of it."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def append_columns(
     df: DataFrame,
     text_col: str,
@@ -48,6 +58,8 @@ def append_columns(
             made = fn(col.to_pylist(), batch)
             cols = [*batch.columns[:-1], *(x if isinstance(x, pa.Array) else pa.array(x, t.type) for x, t in zip(made, out_types, strict=True))]
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        del fn
+        _give_back()
 
     return src.mapInArrow(run, schema)
 
