@@ -163,6 +163,30 @@ def test_neardup(spark):
     assert neardup.classes(again.limit(0)).isEmpty()
 
 
+def test_neardup_finds_pairs_beside_a_failed_comparison(spark):
+    """1000 copies near one original and not near each other, and true pairs in a family of almost-similar texts."""
+    rnd = random.Random(5)
+    word = lambda: f"v{rnd.randrange(10**9)}"
+    original = [word() for _ in range(304)]  # 300 shingles; 6 words changed far apart leave 270 of them: 270 / 330
+    texts = [" ".join(original)]
+    for _ in range(1000):
+        w = list(original)
+        for p in rnd.sample(range(6, 298, 6), 6):
+            w[p] = word()
+        texts.append(" ".join(w))
+    template = [word() for _ in range(200)]
+    for _ in range(80):
+        own = [word() for _ in range(60)]
+        texts += [" ".join(template + own), " ".join(template + own[:-1] + [word()])]
+    docs = list(enumerate(texts))
+    shingles = [neardup.labelled_shingles(t.encode()) for t in texts]
+    assert all(neardup.aligned(shingles[0], s) >= 0.8 for s in shingles[1:1001])
+    assert sum(neardup.aligned(shingles[i], shingles[j]) >= 0.8 for i in range(1, 61) for j in range(1, i)) < 60
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {d: c for d, c in got.items() if d > 1000} == brute_classes(docs[1001:])
+    assert all(got[d] == 0 for d in range(1001))
+
+
 # --- vectors
 
 
