@@ -2,9 +2,9 @@
 
 Base spans (kinds ``assign``, ``access``, ``hex``) come from three patterns, leftmost and not
 overlapping per kind; matches that are too short are dropped. The method adds ``guess`` spans: every
-value in a credential context (a key word, then ``:``, ``=``, ``is`` or ``Bearer``) is segmented at
-least total guess cost into common words, dates, repeats, keyboard walks, sequences and brute-force
-spans, and values that cost at least ``MIN_LOG10_GUESSES`` are secrets.
+value in a credential context (a key word, then ``:``, ``=``, ``is`` or ``Bearer``, then the scheme word
+of a header if there is one: Bearer, Basic, Token, Digest) is segmented at least total guess cost into
+common words, dates, repeats, keyboard walks, sequences and brute-force spans, and values that cost at least ``MIN_LOG10_GUESSES`` are secrets.
 
 Offsets are code points, end exclusive. Null text is empty. The scan is one pass per row, no
 shuffle; the segmentation is linear in the value's length.
@@ -25,8 +25,8 @@ from quietspan.llm.rows import append_columns
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-#: A credential's key word, a separator, its value.
-CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api_?key|access_?key|private_?key|credentials?|authorization|bearer)["']?\x20*(?:[:=]|\x20is\x20|\x20bearer\x20|(?<=bearer)\x20)\x20*["']?([^\s"'<>]{6,})""", re.I | re.A)
+#: A credential's key word, a separator, the scheme of a header if there is one, its value.
+CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api_?key|access_?key|private_?key|credentials?|authorization|bearer)["']?\x20*(?:[:=]|\x20is\x20|\x20bearer\x20|(?<=bearer)\x20)\x20*["']?(?:(?:bearer|basic|token|digest)\x20+["']?)?([^\s"'<>]{6,})""", re.I | re.A)
 KINDS = ("assign", "access", "hex", "guess")
 MIN_LOG10_GUESSES = 10.0
 #: Any context holds one of these, in lower case.

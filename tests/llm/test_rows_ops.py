@@ -208,6 +208,14 @@ def test_secrets(spark):
     assert secrets.scan_secrets(empty(spark)).isEmpty()
 
 
+@pytest.mark.parametrize("head", ["Authorization: Bearer ", "authorization: Basic ", "Authorization: Token ", "Authorization: Digest ", "token: Bearer ", "token = 'Bearer ", "Authorization: ", "bearer ", '"Authorization": "Bearer '])
+def test_secrets_in_header_lines(spark, head):
+    value = "dXNlcjp4OUsybVBxN0x3Wg=="
+    text = f"{head}{value}\nHost: x"
+    assert (len(head), 3, len(head) + len(value)) in secrets.find_spans(text)
+    assert secrets.redact(docs(spark, [text])).first().text.endswith("[SECRET]\nHost: x") and value not in secrets.redact(docs(spark, [text])).first().text
+
+
 # --- toxicity
 
 
