@@ -103,7 +103,7 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float = SIMILARITY) -> floa
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     needed = threshold / (1 + threshold) * (n1 + n2)
     band = n1 + n2 - 2 * needed  # more insertions and deletions than this cannot reach the threshold
-    near = np.abs(i - j) <= band
+    near = np.abs(i - j) <= band + 1e-9
     i, j = i[near], j[near]
     if len(i) < needed - 1e-9:
         return 0.0

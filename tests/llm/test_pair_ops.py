@@ -151,6 +151,12 @@ def test_alignment_is_the_longest_common_subsequence():
         assert got == pytest.approx(want) if want >= 0.8 else got < 0.8
 
 
+def test_alignment_of_texts_cut_at_the_front():
+    for k in (1, 7, 11, 100, 1000):
+        a = np.arange(5 * k, dtype=np.uint64)
+        assert neardup.aligned(a, a[k:]) == neardup.aligned(a[k:], a) == 0.8, k
+
+
 def test_neardup(spark):
     docs = list(enumerate(near_corpus(random.Random(3))))
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("class_id", F.lit("clash"))
