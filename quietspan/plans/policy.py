@@ -150,9 +150,11 @@ def scoped(rows: DataFrame, account_id: str) -> DataFrame:
 
 
 def matching_rules(items: DataFrame, rules: DataFrame, value: str = "sender") -> DataFrame:
-    """Items with the strictest action of the glob rules (pattern, action) that match; ``rules`` is a policy table of fixed size."""
+    """Items with the strictest action of the glob rules (pattern, action) that match; ``rules`` is a policy table of 10,000 rows at most, more of them fail."""
     like = F.regexp_replace(F.regexp_replace("pattern", r"([\\%_])", r"\\$1"), r"\*", "%")
-    globs = [(r.glob, r.action) for r in rules.select(like.alias("glob"), "action").limit(10_000).collect()]
+    globs = [(r.glob, r.action) for r in rules.select(like.alias("glob"), "action").limit(10_001).collect()]
+    if len(globs) > 10_000:
+        raise ValueError("over 10,000 rules")
     level = F.lit(0)
     for glob, action in globs:
         level = F.greatest(level, F.when(F.lower(value).like(glob.lower()), ACTIONS.index(action)).otherwise(0))

@@ -105,3 +105,10 @@ def test_stream_equals_batch_and_replays_add_nothing(spark, tmp_path, items):
         got = spark.read.parquet(table)
         want = decisions.scan(source, P1, "1")
         assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_rules_over_the_bound_fail(spark):
+    mails = spark.createDataFrame([(1, "a@b.example")], "id int, sender string")
+    rules = spark.range(10_001).select(F.concat(F.col("id").cast("string"), F.lit("@x.example")).alias("pattern"), F.lit("mask").alias("action"))
+    with pytest.raises(ValueError, match="10,000 rules"):
+        L.matching_rules(mails, rules)
