@@ -5,7 +5,7 @@ match has settled by the time the link is taken. A word is then one walk: no pie
 symbol is looked at twice.
 
 A symbol is a byte, or a word's last byte marked as such, so that a vocabulary entry with a word end
-matches at the end of a word only. Text is lower-cased and cut by the vocabulary's own pattern;
+matches at the end of a word only. Text is put in NFC, lower-cased and cut by the vocabulary's own pattern;
 white space separates words and counts nothing. Every single symbol must be an entry, so no word
 fails.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import unicodedata
 from functools import lru_cache, partial
 
 from pyspark.sql import DataFrame
@@ -122,12 +123,14 @@ class Counter:
         """(words, tokens). Words never cross white space, so chunks between it are counted once each."""
         if len(self.chunks) > CACHE_WORDS:
             self.chunks.clear()
+        text = text if text.isascii() else unicodedata.normalize("NFC", text)
         text = text.lower()
         if _CONTROL.search(text):  # marks for the pattern, white space for split()
             return self.chunk(text)
         known, chunks = self.chunks, text.split()
-        for c in set(chunks) - known.keys():
-            known[c] = self.chunk(c)
+        for c in set(chunks):
+            if c not in known:
+                known[c] = self.chunk(c)
         counts = [known[c] for c in chunks]
         return sum(a for a, _ in counts), sum(b for _, b in counts)
 
