@@ -52,12 +52,6 @@ def suspicious(label: Column) -> Column:
     return F.array_contains(F.transform(F.array(*map(F.lit, P.SUSPICIONS)), lambda p: F.startswith(label, p)), True)
 
 
-def strip_raw_blocks(c: Column) -> Column:
-    """Remove well-formed script, style, head and title blocks; unclosed ones stay. The close is the first ``</tag`` and its ``>``."""
-    for_tag = "|".join(f"<{t}\\b[^>]*+>(?:(?!</{t}).)*+</{t}[^>]*+>" for t in P.RAW_TAGS)
-    return F.regexp_replace(c, f"(?is){for_tag}", "")
-
-
 def defang_links(c: Column) -> Column:
     """Blank the addresses of remote images, and of links that carry a query."""
     images = F.regexp_replace(c, r"(?i)(<img\b[^>]*?\bsrc\s*+=\s*+)(?:\"https?:[^\"]*+\"|'https?:[^']*+')", '$1""')

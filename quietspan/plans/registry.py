@@ -98,7 +98,7 @@ def digit_runs(spark, sf_dir):
 SELECT doc_id, rs AS run_start, length(run) AS run_length, CAST(len(regexp_extract_all(run, '\p{{Nd}}+')) AS INTEGER) AS n_groups FROM runs"""
 )
 def run_groups(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").where(F.col("text").rlike("[0-9]"))
+    docs = _t(spark, sf_dir, "documents").where(F.col("text").rlike(r"\p{Nd}"))
     runs = docs.select("doc_id", F.explode(S.digit_runs(F.col("text"))).alias("r"))
     return runs.select("doc_id", F.col("r.start").alias("run_start"), F.length("r.text").alias("run_length"), F.size(F.regexp_extract_all("r.text", F.lit(r"\p{Nd}++"), F.lit(0))).alias("n_groups"))
 
@@ -390,7 +390,7 @@ _BLOCKS = "|".join(f"<{t}\\b[^>]*>.*?</{t}[^>]*>" for t in P.RAW_TAGS)
 
 @query(f"SELECT page_id, regexp_replace(html, '(?is){_BLOCKS}', '', 'g') AS html FROM pages")
 def html_raw_blocks(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", X.strip_raw_blocks(F.col("html")).alias("html"))
+    return _t(spark, sf_dir, "pages").select("page_id", N.strip_raw_blocks(F.col("html")).alias("html"))
 
 
 @query()

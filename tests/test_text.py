@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from quietspan.functions import text as X
@@ -43,7 +45,11 @@ def test_suspicions(spark):
 
 def test_raw_blocks_agree_with_the_reader(spark):
     pages = ["a<style>x</style>b", "a<SCRIPT src=1>x<b></Script >c", "a<style>b", "<title>t</title>x<head><p></head>y", "<header>h</header>"]
-    assert each(spark, pages, X.strip_raw_blocks) == [N.without_raw_blocks(p) for p in pages]
+    assert each(spark, [*pages, None], N.strip_raw_blocks) == ["ab", "ac", "a<style>b", "xy", "<header>h</header>", None]
+    hostile = ["<style>" * 200_000, "<style>" * 100_000 + "</title" + "x" * 1_000_000, "<style>x</style>" * 50_000]
+    began = time.time()
+    assert [len(x) for x in each(spark, hostile, N.strip_raw_blocks)] == [len(hostile[0]), len(hostile[1]), 0]
+    assert time.time() - began < 10
 
 
 def test_calendar_kernels(spark):
