@@ -5,10 +5,13 @@ token-position rows (piece, pos, id); a recursive query joins neighbouring rows
 and contracts each piece's leftmost pair of least rank, until no piece has a pair left. Decoding
 joins ids with the vocabulary and aggregates their bytes in order.
 
-Two forms of the recursion give the same ids. Pieces of over ``LONG_PIECE`` bytes (runs of one
-character, unspaced scripts) contract all places of the least rank in one step, left to right
-without overlap, so that a run of n equal bytes takes log n steps; no merge makes a pair of lower
-rank than its own, so the order among equal ranks is the only one that matters.
+Words of over ``WINDOW`` bytes (unspaced scripts, runs) are encoded in overlapping windows. Where the tokens of two neighbours share one in the overlap, left tokens up to it
+and right tokens after it join: ids are the encoding of their bytes exactly when each two neighbours
+are the encoding of theirs, and in both windows they are. Windows that share no token (periodic text) are
+encoded again as one, up to ``JOINED`` bytes; beyond that the right one starts anew at a token of the left
+one. In windows a step contracts all places of the least rank, left to right without overlap: the leftmost
+one, then the next, as no merge makes a pair of its own rank or a lower one; so a run of n equal bytes
+takes log n steps.
 
 Scale: row-wise, no shuffle; the vocabulary (a fixed file, read on the driver) is broadcast. A task
 keeps at most ``CACHE_ENTRIES`` encoded chunks; pieces go to DuckDB in blocks of ``BLOCK_BYTES``,
@@ -34,19 +37,20 @@ from quietspan.llm import rolling
 from quietspan.llm.rows import append_columns
 
 CACHE_ENTRIES = 300_000
-BLOCK_BYTES = 1 << 19
+#: Rows of all steps of one recursion.
+BLOCK_ROWS = 1 << 21
 BLOCK_TOKENS = 1 << 18
 BLOCK_CHARS = 1 << 21
 BLOCK_TEXTS = 1024
-LONG_PIECE = 96
+WINDOW, OVERLAP, JOINED = 256, 64, 1 << 16
 #: Unicode White_Space, which the pattern's \s stands for.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 _LEFTMOST = "SELECT s.step, s.piece, s.pos, s.k IS NOT DISTINCT FROM g.least AS take, s.k, s.id FROM state s JOIN least g USING (piece)"
-_EVERY_SECOND = """SELECT step, piece, pos, k, id, same AND (rn - coalesce(max(CASE WHEN NOT same THEN rn END) OVER (ORDER BY pos), 0)) % 2 = 1 AS take
+_EVERY = """SELECT step, piece, pos, k, id, same AND (rn - coalesce(max(CASE WHEN NOT same THEN rn END) OVER (ORDER BY pos), 0)) % 2 = 1 AS take
     FROM (SELECT s.*, coalesce(s.k >> 32 = g.least >> 32, false) AS same, row_number() OVER (ORDER BY pos) AS rn
       FROM state s JOIN least g USING (piece))"""
-#: k is the rank of the pair that starts at a row, then its place; a piece without any k is done.
+#: State: k is the rank of the pair that starts at a row, then its place; a word without any k is done. Ends after {steps} steps.
 _ENCODE = """
 WITH RECURSIVE state(step, piece, pos, id, k) AS (
   SELECT 0, t.piece, t.pos, t.id, (m.rank::BIGINT << 32) | t.pos
@@ -62,16 +66,15 @@ WITH RECURSIVE state(step, piece, pos, id, k) AS (
         CASE WHEN take THEN lead(merged, 2) OVER w ELSE lead(merged) OVER w END AS nxt,
         CASE WHEN take THEN lead(piece, 2) OVER w ELSE lead(piece) OVER w END AS beyond
       FROM (
-        WITH least AS (SELECT piece, min(k) AS least FROM state GROUP BY piece HAVING min(k) IS NOT NULL)
-        SELECT step, piece, pos, take, CASE WHEN take THEN k >> 32 ELSE id END AS merged FROM ({chosen})
-      )
+        WITH least AS (SELECT piece, min(k) AS least FROM state WHERE step < {steps} GROUP BY piece HAVING min(k) IS NOT NULL)
+        SELECT step, piece, pos, take, CASE WHEN take THEN k >> 32 ELSE id END AS merged FROM ({chosen}))
       WINDOW w AS (ORDER BY pos)
     )
     WHERE NOT gone
   ) c
   LEFT JOIN merges m ON m.l = c.id AND m.r = c.nxt
 )
-SELECT piece, id FROM state
+SELECT piece, id, max(k) OVER () IS NULL AS done FROM state
 JOIN (SELECT piece, max(step) AS step FROM state GROUP BY piece) USING (piece, step)
 ORDER BY pos
 """
@@ -102,10 +105,10 @@ class Recent:
 
     def unknown(self, keys: set) -> set:
         """The keys it does not have; all others are in ``now`` then."""
-        keys = keys - self.now.keys()
-        known = keys & self.past.keys()
-        self.now.update((k, self.past[k]) for k in known)
-        return keys - known
+        now, past = self.now, self.past
+        keys = {k for k in keys if k not in now}
+        now.update((k, past[k]) for k in keys if k in past)
+        return {k for k in keys if k not in past}
 
 
 def single_spaced(text: str) -> bool:
@@ -129,8 +132,9 @@ class Coder:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         self._table("merges", pa.table({"l": left, "r": right, "rank": rank}))
         self._table("vocabulary", pa.table({"id": pa.array([r for _, r in ranks], pa.int32()), "hex": [t.hex() for t, _ in ranks]}))
-        self.queries = [_ENCODE.replace("{chosen}", x) for x in (_LEFTMOST, _EVERY_SECOND)]
-        self.plain, self.spaced, self.pieces, self.hashed = Recent(), Recent(), Recent(), Recent()
+        self.plain, self.spaced, self.pieces, self.raw = Recent(), Recent(), Recent(), Recent()
+        self.size = np.zeros(max(self.ranks.values()) + 1, np.int64)
+        self.size[list(self.ranks.values())] = list(map(len, self.ranks))
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.db.register("given", rows)
@@ -144,32 +148,79 @@ class Coder:
         finally:
             self.db.unregister(name)
 
-    def _contract(self, pieces: list[bytes], query: str) -> list[bytes]:
-        size = np.array([len(p) for p in pieces])
+    def _contract(self, pieces: list[bytes], chosen: str = _LEFTMOST) -> list[np.ndarray]:
+        """Ids of each word by the recursion alone. Where its rows would be too many, its last state feeds the next query."""
         raw = np.frombuffer(b"".join(pieces), np.uint8)
-        tokens = pa.table({"piece": np.repeat(np.arange(len(pieces), dtype=np.int32), size), "pos": np.arange(len(raw)), "id": self.bytes[raw]})
-        out = self._query("tokens", tokens, query)
-        ids = out["id"].to_numpy().astype("<u4")
-        cut = np.searchsorted(out["piece"].to_numpy(), np.arange(len(pieces) + 1))
-        return [ids[a:b].tobytes() for a, b in zip(cut, cut[1:])]
+        piece, ids = np.repeat(np.arange(len(pieces), dtype=np.int32), [len(p) for p in pieces]), self.bytes[raw]
+        while True:
+            tokens = pa.table({"piece": piece, "pos": np.arange(len(ids)), "id": ids})
+            out = self._query("tokens", tokens, _ENCODE.format(chosen=chosen, steps=max(2, 2 * BLOCK_ROWS // max(len(ids), 1))))
+            piece, ids = out["piece"].to_numpy(), out["id"].to_numpy().astype(np.int32)
+            if not len(ids) or out["done"][0].as_py():
+                cut = np.searchsorted(piece, np.arange(len(pieces) + 1))
+                return [ids[a:b] for a, b in zip(cut, cut[1:])]
+
+    def _blocks(self, pieces: list[bytes], chosen: str = _LEFTMOST) -> list[np.ndarray]:
+        """As ``_contract``, in blocks of so many words that all steps of one have about ``BLOCK_ROWS`` rows at most."""
+        out, block, held = [], [], 0
+        for p in [*pieces, None]:
+            if block and (p is None or held + len(p) * min(len(p), 128) // 2 > BLOCK_ROWS):
+                out += self._contract(block, chosen)
+                block, held = [], 0
+            if p is not None:
+                block.append(p)
+                held += len(p) * min(len(p), 128) // 2
+        return out
+
+    def _starts(self, at: int, ids: np.ndarray) -> np.ndarray:
+        """Where each token starts, and the end."""
+        return at + np.concatenate(([0], np.cumsum(self.size[ids])))
+
+    def _shared(self, left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> tuple[int, int] | None:
+        """Indices of a token that is in both (ids, starts), the middle one of them."""
+        _, i, j = np.intersect1d(left[1][:-1], right[1][:-1], assume_unique=True, return_indices=True)
+        equal = np.flatnonzero(left[0][i] == right[0][j])
+        return (int(i[equal[len(equal) // 2]]), int(j[equal[len(equal) // 2]])) if len(equal) else None
+
+    def _windows(self, word: bytes) -> np.ndarray:
+        """Ids of one long word."""
+        bounds = [(a, min(a + WINDOW + OVERLAP, len(word))) for a in range(0, len(word) - OVERLAP, WINDOW)]
+        found: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        while True:
+            new = [b for b in bounds if b not in found]
+            found |= {b: (ids, self._starts(b[0], ids)) for b, ids in zip(new, self._blocks([word[a:b] for a, b in new], _EVERY), strict=True)}
+            merged = bounds[:1]
+            fresh = True  # a window takes in one neighbour a round
+            for b in bounds[1:]:
+                if fresh and b[1] - merged[-1][0] <= JOINED and self._shared(found[merged[-1]], found[b]) is None:
+                    merged[-1], fresh = (merged[-1][0], b[1]), False
+                else:
+                    merged.append(b)
+                    fresh = True
+            if merged == bounds:
+                break
+            bounds = merged
+        done, last = [], found[bounds[0]]
+        for left, right in zip(bounds, bounds[1:]):
+            here = found[right]
+            if (cut := self._shared(last, here)) is None:
+                k = int(np.searchsorted(last[1], left[1] - max((left[1] - left[0]) // 4, OVERLAP), "right")) - 1
+                ids = self._contract([word[last[1][max(k, 0)] : right[1]]], _EVERY)[0]
+                here = ids, self._starts(int(last[1][max(k, 0)]), ids)
+                cut = max(k, 0), 0
+                if ids[0] != last[0][cut[0]]:
+                    return self._contract([word], _EVERY)[0]
+            done.append(last[0][: cut[0]])
+            last = here[0][cut[1] :], here[1][cut[1] :]
+        return np.concatenate([*done, last[0]])
 
     def encode_pieces(self, pieces: list[bytes]) -> dict[bytes, bytes]:
-        """Ids (little-endian unsigned 32-bit) of each distinct piece."""
-        done, todo = {}, ([], [])
-        for p in pieces:
-            if (r := self.ranks.get(p)) is not None:
-                done[p] = r.to_bytes(4, "little")
-            else:
-                todo[len(p) > LONG_PIECE].append(p)
-        for some, query in zip(todo, self.queries, strict=True):
-            block, held = [], 0
-            for p in [*some, None]:
-                if block and (p is None or held + len(p) > BLOCK_BYTES):
-                    done.update(zip(block, self._contract(block, query), strict=True))
-                    block, held = [], 0
-                if p is not None:
-                    block.append(p)
-                    held += len(p)
+        """Ids (little-endian unsigned 32-bit) of each distinct word."""
+        done = {p: r.to_bytes(4, "little") for p in pieces if (r := self.ranks.get(p)) is not None}
+        todo = [p for p in pieces if p not in done]
+        short = [p for p in todo if len(p) <= WINDOW]
+        done.update((p, ids.astype("<u4").tobytes()) for p, ids in zip(short, self._blocks(short), strict=True))
+        done.update((p, self._windows(p).astype("<u4").tobytes()) for p in todo if len(p) > WINDOW)
         return done
 
     def _cut(self, chunk: str) -> list[str]:
@@ -196,8 +247,7 @@ class Coder:
     def _vector_block(self, raw: list[bytes]) -> list[bytes]:
         """Plain, single-spaced texts (ASCII and the letters of U+00C0 to U+00FF, no contractions), all at once.
 
-        There, a piece is a run of one byte class with the space before it, or a line feed. Pieces are told
-        apart by a 64-bit hash.
+        There, a piece is a run of one byte class with the space before it, or a line feed.
         """
         if not raw:
             return []
@@ -209,13 +259,12 @@ class Coder:
         if not len(start):
             return [b""] * len(raw)
         start = start - ((data[np.maximum(start - 1, 0)] == 0x20) & (start > 0))
-        pieces, first, which = np.unique(rolling.spans(rolling.prefix(data), start, stop), return_index=True, return_inverse=True)
-        at = dict(zip(pieces.tolist(), first.tolist(), strict=True))
-        now, new = self.hashed.now, list(self.hashed.unknown(set(at)))
-        texts = [joined[start[at[h]] : stop[at[h]]] for h in new]
-        ids = self.encode_pieces(texts)
-        now.update((h, ids[t]) for h, t in zip(new, texts, strict=True))
-        codes = [now[h] for h in pieces.tolist()]
+        first, which = rolling.distinct(joined, start, stop)
+        pieces = [joined[a:b] for a, b in zip(start[first].tolist(), stop[first].tolist())]
+        new = list(self.raw.unknown(set(pieces)))
+        now, ids = self.raw.now, self.encode_pieces(new)
+        now.update((p, ids[p]) for p in new)
+        codes = [now[p] for p in pieces]
         size = np.array([len(c) // 4 for c in codes])
         pool, base = np.frombuffer(b"".join(codes), "<u4"), np.cumsum(size) - size
         n = size[which]
@@ -226,7 +275,7 @@ class Coder:
         return [out[a:b].tobytes() for a, b in zip(cut, cut[1:])]
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
-        for cache in (self.plain, self.spaced, self.pieces, self.hashed):
+        for cache in (self.plain, self.spaced, self.pieces, self.raw):
             cache.turn()
         raw = [t.encode() for t in texts]
         plain = [bool(r) and b"\x04" not in r.translate(_CLASS) and not _NOT_PLAIN.search(r) and single_spaced(t) for r, t in zip(raw, texts, strict=True)]

@@ -18,6 +18,21 @@ LONG = "Ab, " * 20_000
 TEXTS = [None, "", " ", "a", "The cat's hat\nsat  on 12 mats.", "ÀÉ ñandú × ÷ Σας 日本語 \U0001f600", "a" * 3000, LONG, "tab\tx\r\ny\x1c", "don't  'Stop'", " lead", "trail ", "<|endoftext|> [INST]", "x" * 97 + " 7" * 60, "a\0b"]
 
 
+def thue_morse(n):
+    """Words that polynomial hashes modulo a power of two confuse with their complement."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+_RND = random.Random(9)
+HARD = [chr(c) + "a" + chr(c) + " b" + chr(c) for c in [*range(32), 0x7F]] + ["".join(map(chr, range(32))) * 40]
+HARD += [w + "\n" + w.translate(str.maketrans("ab", "ba")) for w in map(thue_morse, (1024, 4096))]
+HARD += ["".join(_RND.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (257, 320, 600, 20_000, 200_000)]
+HARD += ["a" * 200_000, "abc" * 66_667, "=" * 5000 + "abcdefg" * 700, "日本" * 900, "".join(_RND.choice("ab") * _RND.randint(1, 300) for _ in range(100))]
+
+
 def docs(spark, texts=TEXTS):
     """With clashing and extra columns, nulls in them, and the last row twice."""
     rows = [(i, t, None if i % 2 else "s", 5) for i, t in enumerate(texts)]
@@ -45,14 +60,14 @@ def brute_decontaminate(text, items):
     return len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 40])
-def test_decontaminate(spark, block_bytes):
+@pytest.mark.parametrize("block_windows", [1 << 20, 5])
+def test_decontaminate(spark, block_windows):
     rnd = random.Random(2)
     word = lambda: rnd.choice(["a", "b", "Éa", "c1", "dd"])
     items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([1, 3, 10, 11, 14, 12])] + [(20, None), (21, "..."), (10, "a b")]
     texts = TEXTS + ["x" + items[4][1] + "-y " + items[2][1].upper()] + [", ".join(word() for _ in range(40)) for _ in range(40)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    out = decontaminate.decontaminate(docs(spark, texts), bench, block_bytes=block_bytes).collect()
+    out = decontaminate.decontaminate(docs(spark, texts), bench, block_windows=block_windows).collect()
     assert len(out) == len(texts) + 1
     for r in out:
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == brute_decontaminate(texts[r.doc_id], items)
@@ -99,7 +114,7 @@ def test_bpe_equals_the_library_and_decodes(spark):
 
     enc = tiktoken.Encoding("own", pat_str=vocab.PATTERN, mergeable_ranks=dict(bpe.load_ranks(RANKS)), special_tokens={})
     rnd = random.Random(3)
-    texts = TEXTS + ["".join(rnd.choice("abz \n'12.é!ß　日") for _ in range(rnd.randint(0, 90))) for _ in range(150)]
+    texts = TEXTS + HARD + ["".join(rnd.choice("abz \n'12.é!ß　日") for _ in range(rnd.randint(0, 90))) for _ in range(150)]
     coded = bpe.encode(docs(spark, texts), RANKS, vocab.PATTERN, digests=True)
     rows = bpe.decode(coded, RANKS, vocab.PATTERN).collect()
     assert len(rows) == len(texts) + 1
@@ -252,7 +267,7 @@ def test_token_files(spark):
 
     tok = Tokenizer.from_file(WORDS)
     rnd = random.Random(6)
-    texts = TEXTS + ["".join(rnd.choice("abZ \n'12.éÉ!ß") for _ in range(rnd.randint(0, 60))) for _ in range(200)]
+    texts = TEXTS + HARD + ["".join(rnd.choice("abZ \n'12.éÉ!ß") for _ in range(rnd.randint(0, 60))) for _ in range(200)]
     rows = [(i * 7 % 1000, t) for i, t in enumerate(texts)] + [(5000, "same"), (5000, "same"), (None, "null id")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = token_files.roundtrip(df, WORDS, shard_ids=500).orderBy("start").collect()
@@ -275,5 +290,18 @@ def test_grammar_roundtrip_and_random_access():
         shard = token_files.Shard(token_files.write_shard([*range(len(parts) - 1), None], parts))
         assert shard.all_tokens().astype("<u4").tobytes() == ids.tobytes() and shard.doc_ids[-1] is None
         assert [shard.tokens(i).astype("<u4").tobytes() for i in range(len(parts))] == parts
-    image = token_files.write_shard([1], [np.tile(rng.integers(0, 900, 50), 2000).astype("<u4").tobytes()])
-    assert len(image) < 100_000  # 400,000 bytes of ids
+
+
+@pytest.mark.parametrize("ids", [np.zeros(1 << 20, "<u4"), np.tile(np.arange(50, dtype="<u4"), 20_000), np.random.default_rng(3).integers(0, 3, 50_000).astype("<u4"), np.array([1, 1, 1, 2, 1, 1], "<u4")])
+def test_no_pair_is_left(ids):
+    base = int(ids.max()) + 1
+    sequence, rules = token_files.compress(ids, base)
+    seen, before = {}, None
+    for i, pair in enumerate(zip(sequence.tolist(), sequence[1:].tolist())):
+        if before == (pair, i - 1):  # overlaps the one before
+            before = None
+            continue
+        before = pair, i
+        seen[pair] = seen.get(pair, 0) + 1
+    assert max(seen.values(), default=0) < 2 and (rules < base + np.arange(len(rules))[:, None]).all()
+    assert len(ids) < 1_000_000 or len(sequence) + len(rules) < 300
