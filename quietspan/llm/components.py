@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quietspan.llm.rows import materialise
+from quietspan.llm.rows import discard, materialise
 
 
 def _forest(batches):
@@ -62,5 +62,6 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        pairs = materialise(small, "components")
+        last, pairs = pairs, materialise(small, "components")
+        discard(last)
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

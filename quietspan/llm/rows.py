@@ -15,13 +15,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 TEXT = "__qs_text"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return what a task freed to the system: a reused Python worker would hold it through stages that need none of it."""
     gc.collect()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -59,7 +60,7 @@ def append_columns(
             cols = [*batch.columns[:-1], *(x if isinstance(x, pa.Array) else pa.array(x, t.type) for x, t in zip(made, out_types, strict=True))]
             yield pa.RecordBatch.from_arrays(cols, names=names)
         del fn
-        _give_back()
+        give_back()
 
     return src.mapInArrow(run, schema)
 
@@ -67,18 +68,42 @@ def append_columns(
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names none (tests, one machine) a folder below the warehouse is used.
+    Only where the session names none and runs on one machine a folder below the warehouse is used.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "qs_checkpoints")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "qs_checkpoints")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def write_shared(df: DataFrame, path: str) -> None:
+    """``df`` as Parquet. What the job shuffled is removed when it ends, as nothing reads it again."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage ends there, and a lost executor costs nothing that was written."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    write_shared(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables that nothing reads any more."""
+    for t in tables:
+        session = t.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            path = session._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def nonnull_text(df: DataFrame, col: str = "text") -> F.Column:
     return F.coalesce(df[col], F.lit(""))

@@ -3,12 +3,12 @@
 Documents are dealt by range of id, each task encodes its documents in order and writes shards of
 about ``SHARD_IDS`` ids. A shard's image holds the ids as a sequence over a grammar: in rounds, the
 most frequent neighbouring id pairs become nonterminals (pairs that overlap more frequent ones wait
-for the next round). Rules and the expansion length of every symbol are stored, so any document is
+for the next round), until no pair occurs twice. Rules and the expansion length of every symbol are stored, so any document is
 decoded alone: its place is found in the running lengths, and only its symbols are expanded.
 
-Scale: one shuffle of the texts (by range of id, ties by text hash); shard totals are added up per
-range first, then over the ranges, so no task sees more than a row per shard of one range or a row
-per range. Shards are written by Spark's committed writer to the shared folder, so a lost executor
+Scale: one shuffle of the texts (by range of id, ties by text hash). A shard notes how many ids of its
+range come before it, and totals are added up over the ranges, so no task sees more than a row per
+range, and images are never shuffled. Shards are written by Spark's committed writer to the shared folder, so a lost executor
 only repeats its own ranges. Memory: one shard and the chunks encoded so far (at most
 ``CACHE_CHUNKS``).
 
@@ -22,6 +22,7 @@ import hashlib
 import re
 import struct
 import zlib
+from array import array
 from functools import lru_cache, partial
 
 import numpy as np
@@ -33,18 +34,16 @@ from pyspark.sql.window import Window
 
 from quietspan.llm import rolling
 from quietspan.llm.bpe import Recent, _Shared
-from quietspan.llm.rows import shared_dir
+from quietspan.llm.rows import give_back, shared_dir, write_shared
 from quietspan.llm.token_counts import byte_alphabet
 
 END_ID = 2
 SHARD_IDS = 1 << 20
 BLOCK_DOCS = 512
-CACHE_CHUNKS = 350_000
-MAGIC = b"QSRP1\0\0\0"
-ROUNDS = 5
-MIN_COUNT = 64
-MAX_RULES = 4096
-_BINS = 17
+CACHE_CHUNKS = 250_000
+MAGIC = b"QSRP2\0\0\0"
+#: Re-Pair goes on until no pair of a shard occurs so often.
+MIN_COUNT = 2
 #: Byte classes of plain texts: white space, letters, digits, other marks; 4 is anything that is not plain.
 _CLASS = bytes(0 if b in b" \n\t\r" else 4 if b < 32 or b == 127 or b == 0xC2 or b > 0xC3 else 1 if b >= 128 or chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256))
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -58,8 +57,8 @@ class Encoder:
     """The tokenizers library behind tables of the chunks and words it has encoded lately.
 
     Plain texts (ASCII and the letters of U+00C0 to U+00FF, without contractions) are cut into words for
-    a whole block at once, by byte class; words are told apart by a 64-bit hash of their lower-case
-    bytes, and only words not met lately go to the library's model. In other texts pieces never cross white space, so each chunk between it is encoded by itself. Chunks of characters
+    a whole block at once, by byte class, and only words not met lately go to the library's model. In
+    other texts pieces never cross white space, so each chunk between it is encoded by itself. Chunks of characters
     below U+0250 (which NFC leaves as they are) are lower-cased and cut here by the vocabulary's own
     pattern, and each new word goes to the library's model; all others go through the whole library.
     """
@@ -76,11 +75,11 @@ class Encoder:
         pattern = next(p["pattern"]["Regex"] for p in parts.get("pretokenizers", [parts]) if p["type"] == "Split")
         self.pattern = regex.compile(pattern)
         self.letters = {b: c for c, b in byte_alphabet().items()}
-        self.chunks, self.words, self.hashed = Recent(CACHE_CHUNKS // 2), Recent(CACHE_CHUNKS // 2), Recent(CACHE_CHUNKS)
+        self.chunks, self.words, self.raw = Recent(CACHE_CHUNKS // 2), Recent(CACHE_CHUNKS // 2), Recent(CACHE_CHUNKS)
 
     def _word(self, word: str) -> bytes:
-        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+        shown = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _cut(self, chunk: str) -> list[str]:
         if chunk.isalpha():
@@ -107,7 +106,7 @@ class Encoder:
 
     def encode(self, raw: list[bytes]) -> list[bytes]:
         """Ids of UTF-8 texts, little-endian unsigned 32-bit."""
-        for cache in (self.chunks, self.words, self.hashed):
+        for cache in (self.chunks, self.words, self.raw):
             cache.turn()
         plain = [b"\x04" not in t.translate(_CLASS) and not _NOT_PLAIN.search(t) for t in raw]
         fast = iter(self._plain([t for t, p in zip(raw, plain) if p]))
@@ -125,13 +124,13 @@ class Encoder:
         if not len(start):
             return [b""] * len(raw)
         stop = np.flatnonzero((kind != 0) & np.concatenate(((kind[1:] != kind[:-1]) | (kind[1:] == 2), [True]))) + 1
-        words, first, which = np.unique(rolling.spans(rolling.prefix(data), start, stop), return_index=True, return_inverse=True)
-        at = dict(zip(words.tolist(), first.tolist(), strict=True))
-        text, now = data.tobytes(), self.hashed.now
-        for h in self.hashed.unknown(set(at)):
-            i = at[h]
-            now[h] = self._word(text[start[i] : stop[i]].decode())
-        codes = [now[h] for h in words.tolist()]
+        text = data.tobytes()
+        first, which = rolling.distinct(text, start, stop)
+        words = [text[a:b] for a, b in zip(start[first].tolist(), stop[first].tolist())]
+        new = self.raw.unknown(set(words))
+        now = self.raw.now
+        now.update((w, self._word(w.decode())) for w in new)
+        codes = [now[w] for w in words]
         size = np.array([len(c) // 4 for c in codes])
         pool, base = np.frombuffer(b"".join(codes), "<u4"), np.cumsum(size) - size
         n = size[which]
@@ -159,86 +158,120 @@ def _encoder(key: str, shared) -> Encoder:
 # --- the grammar
 
 
-def _round(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where one round replaces pairs, the number of each place's rule, and the rules' pairs, most frequent first.
+def _grouped(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the order of their keys, keys in order). Keys of ``bits`` bits are sorted with their place beside them where both fit."""
+    room = len(key).bit_length()
+    if bits + room > 63:
+        order = np.argsort(key)
+        return order, key[order]
+    both = np.sort(key << room | np.arange(len(key)))
+    return both & ((1 << room) - 1), both >> room
 
-    Pairs are told apart by a hash into bins. A bin stands for one of its pairs, whose places are counted
-    exactly; another pair of the bin waits for a later round.
+
+def compress(ids: np.ndarray, base: int, least: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
+    """The sequence and the rules as (n, 2). Symbols below ``base`` are ids; rules number on from it, each after its parts.
+
+    A round replaces pairs, most frequent first: a place whose neighbours' pairs are more frequent waits.
+    Only pairs that a replacement has made, and repeated ones that wait, can still repeat, so a round looks
+    at those alone. Ends when no pair occurs ``least`` times without overlap.
     """
-    key = x[:-1].astype(np.uint64) << np.uint64(32) | x[1:]
-    bin_ = ((x[:-1] * np.uint32(0x9E3779B1) ^ x[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _BINS)).astype(np.intp)
-    pair = np.zeros(1 << _BINS, np.uint64)
-    pair[bin_] = key
-    own = pair[bin_] == key
-    counts = np.bincount(np.where(own, bin_, 1 << _BINS), minlength=1 << _BINS)[: 1 << _BINS]
-    some = np.flatnonzero(counts >= MIN_COUNT)
-    some = some[np.argsort(-counts[some], kind="stable")][:MAX_RULES]
-    none = len(some)
-    rank_of = np.full(1 << _BINS, none, np.int32)
-    rank_of[some] = np.arange(none)
-    rank = np.where(own, rank_of[bin_], none)
-    take = rank < none
-    take[1:] &= rank[1:] < rank[:-1]
-    take[:-1] &= rank[:-1] <= rank[1:]
-    at = np.flatnonzero(take)
-    return at, rank[at], pair[some]
-
-
-def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The sequence and, for each round, its rules as (n, 2). Symbols below ``base`` are ids; rules number on from it."""
-    x, rules, top = ids.astype(np.uint32), [], base
-    for _ in range(ROUNDS):
-        if len(x) < 2 * MIN_COUNT:
+    n = len(ids)
+    x = np.append(ids.astype(np.int64), 0)
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)  # neighbours among the symbols that are left; n is the end
+    left, look = np.ones(n + 1, bool), np.zeros(n + 1, bool)
+    none = np.iinfo(np.int32).max
+    rank_at = np.full(n + 2, none, np.int32)  # the last one is for what is before the first
+    rules, top, place = [], base, np.arange(max(n - 1, 0))
+    while len(place):
+        a, b = x[place], x[after[place]]
+        bits = top.bit_length()
+        key = a << bits | b
+        count = np.ones(len(place), bool)
+        run = np.zeros(len(place), bool)  # a pair of equal symbols next to one: every second of them counts
+        run[1:] = (a[1:] == b[1:]) & (place[:-1] == before[place[1:]]) & (a[1:] == a[:-1])
+        if run.any():
+            at = np.arange(len(place))
+            count = (at - np.maximum.accumulate(np.where(run, 0, at))) % 2 == 0
+        order, ordered = _grouped(key[count], 2 * bits)
+        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        counts = np.diff(np.append(first, len(ordered)))
+        some = np.flatnonzero(counts >= least)
+        if not len(some):
             break
-        at, rank, pairs = _round(x)
-        if not len(at):
-            break
-        rules.append(np.stack((pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)), 1).astype(np.uint32))
-        x[at] = (top + rank).astype(np.uint32)
-        keep = np.ones(len(x), bool)
-        keep[at + 1] = False
-        x = x[keep]
+        some = some[np.argsort(-counts[some], kind="stable")]
+        number = np.full(len(first), none, np.int32)
+        number[some] = np.arange(len(some))
+        rank = np.empty(len(ordered), np.int32)
+        rank[order] = np.repeat(number, counts)
+        rank_all = np.full(len(place), none, np.int32)
+        rank_all[count] = rank
+        uncounted = np.flatnonzero(~count)
+        odd = place[uncounted[rank_all[uncounted - 1] < none]]
+        waits = rank_all < none
+        mine, here = rank_all[waits], place[waits]
+        rank_at[here] = mine
+        take = (mine < rank_at[before[here]]) & (mine <= rank_at[after[here]])
+        rank_at[here] = none
+        got = np.bincount(mine[take], minlength=len(some))
+        enough = got >= least  # the most frequent pair gets all its places, others may have to wait
+        take &= enough[mine]
+        new = top + np.cumsum(enough) - 1
+        chosen = here[take]
+        second = after[chosen]
+        x[chosen] = new[mine[take]]
+        left[second] = False
+        after[chosen] = after[second]
+        before[after[second]] = chosen
+        pairs = ordered[first[some[enough]]]
+        rules.append(np.stack((pairs >> bits, pairs & ((1 << bits) - 1)), 1))
         top += len(pairs)
-    return x, rules
-
-
-def expand(x: np.ndarray, rules: list[np.ndarray], base: int) -> np.ndarray:
-    top = base + sum(map(len, rules))
-    for level in reversed(rules):
-        top -= len(level)
-        at = np.flatnonzero(x >= top)
-        if not len(at):
-            continue
-        both = level[x[at] - np.uint32(top)]
-        times = np.ones(len(x), np.int8)
-        times[at] = 2
-        x = np.repeat(x, times)
-        at = at + np.arange(len(at))
-        x[at], x[at + 1] = both[:, 0], both[:, 1]
-    return x
-
-
-def _lengths(rules: list[np.ndarray], base: int) -> np.ndarray:
+        look[here[~take]] = look[odd] = look[chosen] = look[before[chosen]] = True
+        look[-1] = False  # before the first, and the end
+        place = np.flatnonzero(look & left)
+        look[:] = False
+        place = place[after[place] < n]
+    return x[:n][left[:n]].astype(np.uint32), np.concatenate([*rules, np.empty((0, 2), np.int64)]).astype(np.uint32)
+
+
+def lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """Expansion length of each rule's symbol."""
-    out = np.empty(0, np.uint32)
-    for level in rules:
-        of = lambda s: np.where(s < base, 1, out[np.maximum(s.astype(np.int64) - base, 0)] if len(out) else 1)  # noqa: E731, B023
-        out = np.concatenate((out, (of(level[:, 0]) + of(level[:, 1])).astype(np.uint32)))
+    out = np.zeros(len(rules), np.int64)
+    parts = rules.astype(np.int64) - base
+    todo = np.arange(len(rules))
+    while len(todo):
+        size = np.where(parts[todo] < 0, 1, out[np.maximum(parts[todo], 0)])
+        known = (size > 0).all(1)
+        out[todo[known]] = size[known].sum(1)
+        todo = todo[~known]
+    return out
+
+
+def expand(x: np.ndarray, rules: np.ndarray, size: np.ndarray, base: int) -> np.ndarray:
+    """The ids of a sequence: every symbol goes to its place, rules as their two parts, until only ids are left."""
+    symbol = x.astype(np.int64)
+    n = np.where(symbol < base, 1, size[np.maximum(symbol - base, 0)] if len(size) else 1)
+    out, at = np.empty(int(n.sum()), np.uint32), np.cumsum(n) - n
+    while len(symbol):
+        leaf = symbol < base
+        out[at[leaf]] = symbol[leaf]
+        rule, at = symbol[~leaf] - base, at[~leaf]
+        left, right = rules[rule, 0].astype(np.int64), rules[rule, 1].astype(np.int64)
+        step = np.where(left < base, 1, size[np.maximum(left - base, 0)]) if len(rule) else at
+        symbol, at = np.concatenate((left, right)), np.concatenate((at, at + step))
     return out
 
 
-def write_shard(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
-    """File image: magic, counts, document ids and whether they are null, token counts, rules by round, expansion lengths, sequence."""
+def write_shard(doc_ids: list[int | None], ids: list[bytes], min_count: int = MIN_COUNT) -> bytes:
+    """File image: magic, counts, document ids and whether they are null, token counts, rules, expansion lengths, sequence."""
     flat = np.frombuffer(b"".join(ids), "<u4")
     base = int(flat.max()) + 1 if len(flat) else 1
-    x, rules = compress(flat, base)
+    x, rules = compress(flat, base, min_count)
     parts = [
         np.array([d or 0 for d in doc_ids], "<i8"),
         np.array([d is None for d in doc_ids], np.uint8),
         np.array([len(i) // 4 for i in ids], "<u8"),
-        np.array([len(r) for r in rules], "<u4"),
-        np.concatenate([*rules, np.empty((0, 2), np.uint32)]).astype("<u4"),
-        _lengths(rules, base).astype("<u4"),
+        rules.astype("<u4"),
+        lengths(rules, base).astype("<u4"),
         (x & np.uint32(0xFFFF)).astype("<u2"),
         (x >> np.uint32(16)).astype("<u2"),
     ]
@@ -250,7 +283,7 @@ class Shard:
     """A shard read back: ``doc_ids``, ``counts``, and ``tokens(i)`` of one document without the others."""
 
     def __init__(self, image: bytes):
-        magic, self.base, docs, rounds, length = struct.unpack_from("<8sQQQQ", image)
+        magic, self.base, docs, rules, length = struct.unpack_from("<8sQQQQ", image)
         if magic != MAGIC:
             raise ValueError("not a token shard")
         at = struct.calcsize("<8sQQQQ")
@@ -264,27 +297,25 @@ class Shard:
         ids, null = take("<i8", docs), take(np.uint8, docs)
         self.doc_ids = [None if z else int(d) for d, z in zip(ids, null)]
         self.counts = take("<u8", docs).astype(np.int64)
-        sizes = take("<u4", rounds).astype(np.int64)
-        flat = take("<u4", 2 * int(sizes.sum())).reshape(-1, 2)
-        self.rules = np.split(flat, np.cumsum(sizes)[:-1]) if rounds else []
-        lengths = take("<u4", len(flat))
+        self.rules = take("<u4", 2 * rules).reshape(-1, 2)
+        self.sizes = take("<u4", rules).astype(np.int64)
         low, high = take("<u2", length), take("<u2", length)
         self.sequence = low.astype(np.uint32) | high.astype(np.uint32) << np.uint32(16)
         size = np.ones(length, np.int64)
         rule = self.sequence >= self.base
-        size[rule] = lengths[self.sequence[rule] - np.uint32(self.base)]
+        size[rule] = self.sizes[self.sequence[rule] - np.uint32(self.base)]
         self.ends = np.cumsum(size)
         self.starts = np.cumsum(self.counts) - self.counts
 
     def all_tokens(self) -> np.ndarray:
-        return expand(self.sequence, self.rules, self.base)
+        return expand(self.sequence, self.rules, self.sizes, self.base)
 
     def tokens(self, i: int) -> np.ndarray:
         a, n = int(self.starts[i]), int(self.counts[i])
         if not n:
             return np.empty(0, np.uint32)
         first, last = np.searchsorted(self.ends, a, side="right"), np.searchsorted(self.ends, a + n - 1, side="right")
-        out = expand(self.sequence[first : last + 1], self.rules, self.base)
+        out = expand(self.sequence[first : last + 1], self.rules, self.sizes, self.base)
         skip = a - (int(self.ends[first - 1]) if first else 0)
         return out[skip : skip + n]
 
@@ -297,6 +328,7 @@ _SHARDS = T.StructType(
         T.StructField("seq", T.IntegerType()),
         T.StructField("n_docs", T.LongType()),
         T.StructField("n_ids", T.LongType()),
+        T.StructField("before", T.LongType()),
         T.StructField("image", T.BinaryType()),
     ]
 )
@@ -306,12 +338,12 @@ def _pack(batches, shared, shard_ids, end_id):
     from pyspark import TaskContext
 
     encoder = _encoder(shared.key, shared)
-    part, seq, held, docs, ids = TaskContext.get().partitionId(), 0, 0, [], []
+    part, seq, before, held, docs, ids = TaskContext.get().partitionId(), 0, 0, 0, [], []
     end = int(end_id).to_bytes(4, "little")
 
     def shard():
-        row = [[part], [seq], [len(docs)], [held], [write_shard(docs, ids)]]
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=_SHARDS.names)
+        row = [[part], [seq], [len(docs)], [held], [before], [write_shard(docs, ids)]]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=_SHARDS.names)
 
     for batch in batches:
         keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -322,9 +354,11 @@ def _pack(batches, shared, shard_ids, end_id):
                 held += len(code) // 4 + 1
                 if held >= shard_ids:
                     yield shard()
-                    seq, held, docs, ids = seq + 1, 0, [], []
+                    seq, before, held, docs, ids = seq + 1, before + held, 0, [], []
     if docs:
         yield shard()
+    del docs, ids
+    give_back()
 
 
 def write(docs: DataFrame, vocabulary_path: str, out: str, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS, end_id: int = END_ID) -> None:
@@ -335,17 +369,17 @@ def write(docs: DataFrame, vocabulary_path: str, out: str, id_col: str = "doc_id
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     tie = F.xxhash64("text")
     dealt = rows.repartitionByRange(F.col("id").asc_nulls_first(), tie).sortWithinPartitions(F.col("id").asc_nulls_first(), tie, "text").select("id", F.encode("text", "utf-8").alias("text"))
-    dealt.mapInArrow(partial(_pack, shared=shared, shard_ids=shard_ids, end_id=end_id), _SHARDS).write.parquet(out)
+    write_shared(dealt.mapInArrow(partial(_pack, shared=shared, shard_ids=shard_ids, end_id=end_id), _SHARDS), out)
 
 
 def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """A row per document: its id, start (ids of all documents before it), n_tokens, ids_crc32."""
     shards = spark.read.schema(_SHARDS).parquet(path)
     totals = shards.groupBy("part").agg(F.sum("n_ids").alias("ids"))
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    parts = totals.select("part", F.coalesce(F.sum("ids").over(before(Window.orderBy("part"))), F.lit(0)).alias("part_start"))
-    offsets = shards.select("part", "seq", F.coalesce(F.sum("n_ids").over(before(Window.partitionBy("part").orderBy("seq"))), F.lit(0)).alias("in_part"))
-    placed = shards.join(offsets.join(parts, "part").select("part", "seq", (F.col("part_start") + F.col("in_part")).alias("shard_start")), ["part", "seq"])
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("part", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("part_start"))
+    # A row of two numbers per range of ids: there are as many as the writing job had partitions.
+    placed = shards.join(F.broadcast(starts), "part").withColumn("shard_start", F.col("part_start") + F.col("before"))
     schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
     def run(batches):
