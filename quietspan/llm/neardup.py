@@ -44,7 +44,7 @@ from pyspark.sql.window import Window
 
 from quietspan.llm import rolling, textnorm
 from quietspan.llm.components import components
-from quietspan.llm.rows import append_columns, materialise
+from quietspan.llm.rows import append_columns, discard, materialise
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -63,8 +63,7 @@ def labelled_shingles(text: bytes | None) -> np.ndarray:
     start, end = textnorm.word_byte_offsets(text)
     if not len(start):
         return np.empty(0, np.uint64)
-    sums = rolling.prefix(np.frombuffer(text.translate(textnorm.TABLE), np.uint8))
-    words = rolling.spans(sums, start, end)
+    words = rolling.parts(text.translate(textnorm.TABLE), start, end)
     n = min(SHINGLE, len(words))
     out = np.zeros(len(words) - n + 1, np.uint64)
     for i in range(n):
@@ -129,7 +128,6 @@ _SKETCHED = T.StructType(
         T.StructField("node", T.BinaryType()),
         T.StructField("sketches", T.ArrayType(T.LongType())),
         T.StructField("size", T.IntegerType()),
-        T.StructField("profile", T.BinaryType()),
     ]
 )
 
@@ -138,13 +136,24 @@ def _make_sketched():
     def one(text):
         words = textnorm.words(text)
         if not words:
-            return None, None, None, None
+            return None, None, None
         shingles = labelled_shingles(text)
-        return hashlib.blake2b(textnorm.joined(words), digest_size=16).digest(), sketches(shingles).view(np.int64).tolist(), len(shingles), profile(shingles)
+        return hashlib.blake2b(textnorm.joined(words), digest_size=16).digest(), sketches(shingles).view(np.int64).tolist(), len(shingles)
 
     return lambda texts, _: [list(x) for x in zip(*map(one, texts))] or [[] for _ in _SKETCHED]
 
 
+_PROFILE = T.StructType([T.StructField("size", T.IntegerType()), T.StructField("profile", T.BinaryType())])
+
+
+def _make_profile():
+    def one(text):
+        shingles = labelled_shingles(text)
+        return len(shingles), profile(shingles)
+
+    return lambda texts, _: [list(x) for x in zip(*map(one, texts))] or [[], []]
+
+
 _VERDICT = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("linked", T.BooleanType())])
 
 
@@ -204,7 +213,7 @@ def _nearest(batches, threshold, most):
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in both], pa.binary()), pa.array([q for _, q in both], pa.binary()), pa.array([more] * len(both))], names=_NEAR.names)
 
 
-def _open_pairs(members: DataFrame, nodes: DataFrame, links: DataFrame, threshold: float, most: int | None) -> DataFrame:
+def _open_pairs(members: DataFrame, profiles: DataFrame, links: DataFrame, threshold: float, most: int | None) -> DataFrame:
     """(a, b, more) of the pairs of each bucket of ``members`` (bucket, node) that are in two components of ``links`` and may link."""
     reach = components(links, "a", "b")
     named = members.join(reach, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
@@ -212,7 +221,7 @@ def _open_pairs(members: DataFrame, nodes: DataFrame, links: DataFrame, threshol
     dealt = named.join(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks")), "bucket").withColumn("side", F.pmod(F.xxhash64("node"), "blocks"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("bucket", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "node", "component")
-    dealt = dealt.join(nodes.select("node", "size", "profile"), "node")
+    dealt = dealt.join(profiles, "node")
     blocks = dealt.groupBy("bucket", "p", "q").agg(F.collect_list(F.struct("node", "component", "side", "size", "profile")).alias("members"))
     return blocks.select((F.col("p") == F.col("q")).alias("same"), "members").mapInArrow(partial(_nearest, threshold=threshold, most=most), _NEAR)
 
@@ -223,12 +232,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
     found = materialise(append_columns(rows, "text", _SKETCHED, _make_sketched).drop("text"), "neardup-sketches")
     wordy = found.where(F.col("node").isNotNull())
-    nodes = wordy.groupBy("node").agg(F.min(F.struct("id", "th")).alias("row"), *(F.first(c).alias(c) for c in ("sketches", "size", "profile")))
+    nodes = wordy.groupBy("node").agg(F.min(F.struct("id", "th")).alias("row"), *(F.first(c).alias(c) for c in ("sketches", "size")))
     nodes = materialise(nodes, "neardup-nodes")
 
     bucket = materialise(nodes.select(F.posexplode("sketches").alias("i", "sketch"), "node").select(F.xxhash64("i", "sketch").alias("bucket"), "node"), "neardup-buckets")
     least = bucket.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("bucket", "least")
     met = materialise(bucket.join(least, "bucket").where("node <> least"), "neardup-met")
+    discard(bucket)
     pairs = materialise(met.select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "neardup-pairs")
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     asked = asked.join(nodes.select("node", F.col("row.id").alias("nid"), F.col("row.th").alias("th")), "node")
@@ -245,15 +255,23 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     against = met.join(judged.withColumnsRenamed({"a": "node", "b": "least"}), ["node", "least"])
     failed = against.groupBy("bucket").agg(F.min("linked").alias("all"), F.count("*").alias("n")).where("not all and n > 1").select("bucket")
     members = materialise(met.join(failed, "bucket").select("bucket", "node"), "neardup-open")
-    for most in () if members.isEmpty() else NEAREST:
-        near = materialise(_open_pairs(members, nodes, judged.where("linked"), threshold, most), "neardup-near")
-        new = verified(near.select("a", "b").distinct().join(judged, ["a", "b"], "left_anti"))
-        judged = judged.unionByName(new)
-        if near.where("more").isEmpty():
-            break
-
-    links = judged.where("linked")
-    reach = components(links, "a", "b")
+    discard(pairs, met)
+    if not members.isEmpty():
+        open_texts = texts.join(members.select("node").distinct(), "node")
+        profiles = materialise(append_columns(open_texts, "text", _PROFILE, _make_profile).select("node", "size", "profile"), "neardup-profiles")
+        for most in NEAREST:
+            near = materialise(_open_pairs(members, profiles, judged.where("linked"), threshold, most), "neardup-near")
+            new = verified(near.select("a", "b").distinct().join(judged, ["a", "b"], "left_anti"))
+            judged = judged.unionByName(new)
+            more = not near.where("more").isEmpty()
+            discard(near)
+            if not more:
+                break
+        discard(profiles)
+    discard(texts, members)
+
+    reach = components(judged.where("linked"), "a", "b")
+    discard(judged)
     grouped = nodes.select("node", "row").join(reach, "node", "left").select("node", "row", F.coalesce("component", "node").alias("component"))
     stand = grouped.groupBy("component").agg(F.min("row").alias("stand"))
     by_node = grouped.join(stand, "component").select(F.col("node"), "stand")
@@ -268,6 +286,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         (F.col("stand").isNotNull() & stands & (F.col("__copies") > 1)).alias("__pick"),
     )
     verdict = materialise(verdict, "neardup-verdict")
+    discard(found, nodes)
     base = docs.drop(*[c for c in docs.columns if c.lower() in ("class_id", "stays")])
     keyed = base.withColumns({"__row": F.col(f"`{id_col}`"), "__hash": F.xxhash64(text)})
     out = keyed.join(verdict, (F.col("__hash") == F.col("__th")) & F.col("__row").eqNullSafe(F.col("__id")))
