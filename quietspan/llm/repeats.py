@@ -65,13 +65,11 @@ def _sliding(x: np.ndarray, width: int, pick, fill) -> np.ndarray:
 
 def runs(text: bytes, length: int = LENGTH, gram: int = GRAM):
     """anchor, content hash, first and last window start, whether the anchor occurs again in the text; arrays by run."""
-    gram = min(gram, length)
-    n, width = len(text) - length + 1, length - gram + 1
+    doublings = min(gram, length).bit_length() - 1
+    n, width = len(text) - length + 1, length - (1 << doublings) + 1
     if n <= 0:
         return None
-    sums = rolling.prefix(np.frombuffer(text, np.uint8))
-    at = np.arange(len(text) - gram + 1)
-    grams = rolling.spans(sums, at, at + gram)
+    grams = rolling.grams(np.frombuffer(text, np.uint8), doublings)
     least = _sliding(grams, width, np.minimum, np.iinfo(np.uint64).max)
     # A gram is some window's least exactly when the greatest least of the windows around it is itself.
     around = np.concatenate((np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)))
@@ -80,7 +78,7 @@ def runs(text: bytes, length: int = LENGTH, gram: int = GRAM):
     lo = np.concatenate(([0], np.flatnonzero(least[1:] != least[:-1]) + 1))
     hi = np.concatenate((lo[1:] - 1, [n - 1]))
     again = counts[np.searchsorted(values, least[lo])] > 1
-    return least[lo].view(np.int64), rolling.spans(sums, lo, hi + length).view(np.int64), lo, hi, again
+    return least[lo].view(np.int64), rolling.parts(text, lo, hi + length).view(np.int64), lo, hi, again
 
 
 def window_classes(segments: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
