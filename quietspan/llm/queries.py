@@ -18,8 +18,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return secrets.scan_secrets(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess")
+    return secrets.scan_secrets(docs, vocabulary_path=public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +74,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return repeats.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return repeats.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("repeated"))
 
 
 def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +116,7 @@ r AS (SELECT c.doc_id, sum(z - a) AS n_removed, count(*) AS n_spans,
         string_agg(substr(x, 2 * b + 1, 2 * (a - b)), '' ORDER BY a) || substr(any_value(x), 2 * max(z) + 1) AS kept
       FROM c JOIN h USING (doc_id) GROUP BY c.doc_id)
 SELECT doc_id, length(x) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-  sha256(unhex(coalesce(kept, x))) AS kept_sha256
+  sha256(unhex(coalesce(kept, x))) AS kept_sha256, coalesce(n_removed, 0) > 0 AS repeated
 FROM h LEFT JOIN r USING (doc_id)
 """,
     "op6_vectors": r"""

@@ -4,7 +4,10 @@ Base spans (kinds ``assign``, ``access``, ``hex``) come from three patterns, lef
 overlapping per kind; matches that are too short are dropped. The method adds ``guess`` spans: every
 value in a credential context (a key word, then ``:``, ``=``, ``is`` or ``Bearer``, then the scheme word
 of a header if there is one: Bearer, Basic, Token, Digest) is segmented at least total guess cost into
-common words, dates, repeats, keyboard walks, sequences and brute-force spans, and values that cost at least ``MIN_LOG10_GUESSES`` are secrets.
+words, dates, repeats, keyboard walks, sequences and brute-force spans (the usual separators are four
+guesses), and values that cost at least ``MIN_LOG10_GUESSES`` are secrets. Words are ranked: some common
+ones of passwords and placeholders, then the words of a vocabulary file in its order, which is read on the
+driver (a fixed size) and broadcast.
 
 Offsets are code points, end exclusive. Null text is empty. The scan is one pass per row, no
 shuffle; the segmentation is linear in the value's length.
@@ -13,8 +16,10 @@ shuffle; the segmentation is linear in the value's length.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +46,7 @@ COMMON = (
     "love summer winter spring autumn soccer hockey killer pepper ginger jordan michael daniel thomas charlie jessica "
     "computer internet server database system service client private public key api my the and for pass word"
 ).split()
-_RANK = {w: i + 1 for i, w in reversed(list(enumerate(COMMON)))}
-_LONGEST = max(map(len, COMMON))
+_WORD_END = "</w>"
 _KEYBOARD = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _PLACE = {c: (r, k) for r, row in enumerate(_KEYBOARD) for k, c in enumerate(row)}
 _DATE = re.compile(r"(?:19|20)\d\d([-/.]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/.]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d", re.A)
@@ -55,63 +59,80 @@ def _near(a: str, b: str) -> bool:
 
 
 def _charset(c: str) -> float:
-    return math.log10(10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 1000)
+    return math.log10(4 if c in "_-. /" else 10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 1000)
 
 
-def _runs(s: str, joined) -> list[int]:
-    """For each place, how far back the run that ends there reaches (its first place)."""
-    first = list(range(len(s)))
-    for i in range(1, len(s)):
-        if joined(i):
-            first[i] = first[i - 1]
-    return first
+def load_words(path: str) -> list[str]:
+    """Whole words of three ASCII letters or more of a word-level vocabulary, most common first (its order)."""
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    whole = (t[: -len(_WORD_END)] for t in sorted(vocabulary, key=vocabulary.get) if t.endswith(_WORD_END))
+    return [w for w in whole if len(w) > 2 and w.isascii() and w.isalpha()]
 
 
-def guess_cost(value: str) -> float:
+class Words:
+    """Guess ranks of words: the common ones of passwords and placeholders, then those of a vocabulary."""
+
+    def __init__(self, more: list[str] = ()):
+        self.rank: dict[str, int] = {}
+        for w in (*COMMON, *more):
+            self.rank.setdefault(w, len(self.rank) + 1)
+        self.longest = max(map(len, self.rank))
+
+
+_COMMON_ONLY = Words()
+
+
+def guess_cost(value: str, words: Words = _COMMON_ONLY) -> float:
     """log10 of the guesses of the cheapest segmentation.
 
     A segment that is not brute force costs a factor 2 more, for its bounds. Repeats, walks and sequences
-    have three places or more and begin where their run begins.
+    have three places or more; inside a run of one of them a segment may start anywhere, but a place that is
+    reached cheapest by the run itself need not be tried, as one segment from the run's start is cheaper.
     """
-    low, n = value.lower(), len(value)
-    repeat = _runs(low, lambda i: low[i] == low[i - 1])
-    walk = _runs(low, lambda i: _near(low[i - 1], low[i]))
-    step = [0, *(ord(low[i]) - ord(low[i - 1]) for i in range(1, n))]
-    sequence = list(range(n))
-    for i in range(1, n):
-        if abs(step[i]) == 1:
-            sequence[i] = sequence[i - 1] if step[i] == step[i - 1] else i - 1
+    low, n, link = value.lower(), len(value), math.log10(2)
     dates: dict[int, list[int]] = {}
     for i in range(n):
         if low[i] in "0123":
             for end in (i + size for size in _DATE_SIZES):
                 if end <= n and _DATE.fullmatch(low, i, end):
                     dates.setdefault(end, []).append(i)
-    best = [0.0] * (n + 1)
-    for end in range(1, n + 1):
-        i = end - 1
-        options = [best[i] + _charset(value[i])]  # brute force, one more place
-        link = math.log10(2)
-        for start in range(max(0, end - _LONGEST), end - 1):
-            if rank := _RANK.get(low[start:end]):
+    best, by = [0.0] * (n + 1), [""] * (n + 1)
+    starts: dict[str, list[int]] = {"repeat": [], "walk": [], "sequence": []}
+    step = 0
+    for i, c in enumerate(low):
+        end, before = i + 1, low[i - 1] if i else ""
+        last, step = step, ord(c) - ord(before) if i else 0
+        going = {"repeat": c == before, "walk": bool(i) and _near(before, c), "sequence": abs(step) == 1 and step == last}
+        for kind, some in starts.items():
+            if not going[kind]:
+                some[:] = [i - 1] if kind == "sequence" and abs(step) == 1 else []
+            if by[i] != kind or not going[kind]:
+                some.append(i)
+        cost, how = best[i] + _charset(value[i]), "brute"
+        for start in range(max(0, end - words.longest), end - 1):
+            if rank := words.rank.get(low[start:end]):
                 shift = 0.0 if value[start:end] == low[start:end] else math.log10(2 * (end - start))
-                options.append(best[start] + math.log10(rank + 1) + shift + link)
-        for first, one in ((repeat[i], _charset(value[i])), (walk[i], math.log10(47 * 4)), (sequence[i], math.log10(26 * 2))):
-            if end - first >= 3:
-                options.append(best[first] + one + math.log10(end - first) + link)
+                if (new := best[start] + math.log10(rank + 1) + shift + link) < cost:
+                    cost, how = new, "word"
+        for kind, one in (("repeat", _charset(value[i])), ("walk", math.log10(47 * 4)), ("sequence", math.log10(26 * 2))):
+            for start in starts[kind]:
+                if end - start >= 3 and (new := best[start] + one + math.log10(end - start) + link) < cost:
+                    cost, how = new, kind
         for start in dates.get(end, ()):
-            options.append(best[start] + math.log10(365 * 120 if end - start > 4 else 120) + link)
-        best[end] = min(options)
+            if (new := best[start] + math.log10(365 * 120 if end - start > 4 else 120) + link) < cost:
+                cost, how = new, "date"
+        best[end], by[end] = cost, how
     return best[n]
 
 
-def find_spans(text: str, threshold: float = MIN_LOG10_GUESSES) -> list[tuple[int, int, int]]:
+def find_spans(text: str, threshold: float = MIN_LOG10_GUESSES, words: Words = _COMMON_ONLY) -> list[tuple[int, int, int]]:
     """(start, kind index, end), sorted."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if len(m[0]) >= 24]
     values = {m.span(1) for m in CONTEXT.finditer(text)} | {m.span(2) for m in ASSIGN.finditer(text) if len(m[2]) >= 6}
-    found += [(a, 3, b) for a, b in values if guess_cost(text[a:b]) >= threshold]
+    found += [(a, 3, b) for a, b in values if guess_cost(text[a:b], words) >= threshold]
     return sorted(found)
 
 
@@ -137,37 +158,45 @@ _FIELDS = T.StructType(
 _CLEAN = (0, 0, 0, 0, hashlib.sha256(b"").hexdigest(), "", [], [])
 
 
-def _make():
+def _make(shared):
+    words = shared.value
+
     def one(raw):
         if not raw or not suspicious(raw):
             return _CLEAN
-        spans = find_spans(raw.decode("utf-8", "replace"))
+        spans = find_spans(raw.decode("utf-8", "replace"), words=words)
         base = [s for s in spans if s[1] < 3]
         return (*(sum(s[1] == k for s in spans) for k in range(4)), hashlib.sha256(render(base).encode()).hexdigest(), render(spans), [s[0] for s in spans], [s[2] for s in spans])
 
     return lambda texts, _: [list(x) for x in zip(*map(one, texts))] or [[] for _ in _FIELDS]
 
 
-def scan_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def _make_redacted(shared, mask):
+    words = shared.value
+
+    def one(raw):
+        if not raw or not suspicious(raw):
+            return raw.decode("utf-8", "replace") if raw is not None else None
+        text, out, at = raw.decode("utf-8", "replace"), [], 0
+        for a, _, b in find_spans(text, words=words):
+            if b > at:
+                out += [text[at:a], mask] if a >= at else []
+                at = b
+        return "".join(out) + text[at:]
+
+    return lambda texts, _: [[one(t) for t in texts]]
+
+
+def _shared_words(df: DataFrame, vocabulary_path: str | None):
+    return df.sparkSession.sparkContext.broadcast(Words(load_words(vocabulary_path)) if vocabulary_path else _COMMON_ONLY)
+
+
+def scan_secrets(docs: DataFrame, text_col: str = "text", vocabulary_path: str | None = None) -> DataFrame:
     """``docs`` plus n_assign, n_access, n_hex, n_guess, base_sha256, spans, secret_start, secret_end."""
-    return append_columns(docs, text_col, _FIELDS, _make)
+    return append_columns(docs, text_col, _FIELDS, partial(_make, _shared_words(docs, vocabulary_path)))
 
 
-def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", vocabulary_path: str | None = None) -> DataFrame:
     """``docs`` with every secret span (overlapping ones merged) replaced by ``mask``; other rows and columns stay. Null stays null."""
-
-    def make():
-        def one(raw):
-            if not raw or not suspicious(raw):
-                return raw.decode("utf-8", "replace") if raw is not None else None
-            text, out, at = raw.decode("utf-8", "replace"), [], 0
-            for a, _, b in find_spans(text):
-                if b > at:
-                    out += [text[at:a], mask] if a >= at else []
-                    at = b
-            return "".join(out) + text[at:]
-
-        return lambda texts, _: [[one(t) for t in texts]]
-
-    order = docs.columns
-    return append_columns(docs, text_col, T.StructType([T.StructField(text_col, T.StringType())]), make).select(*[F.col(f"`{c}`") for c in order])
+    made = append_columns(docs, text_col, T.StructType([T.StructField(text_col, T.StringType())]), partial(_make_redacted, _shared_words(docs, vocabulary_path), mask))
+    return made.select(*[F.col(f"`{c}`") for c in docs.columns])

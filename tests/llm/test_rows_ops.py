@@ -165,7 +165,9 @@ def brute_cost(value):
     """The cheapest segmentation, over all of them."""
     import math
 
-    from quietspan.llm.secrets import _DATE, _RANK, _charset, _near
+    from quietspan.llm.secrets import _COMMON_ONLY, _DATE, _charset, _near
+
+    _RANK = _COMMON_ONLY.rank
 
     low = value.lower()
 
@@ -174,13 +176,13 @@ def brute_cost(value):
         if s in _RANK and n > 1:
             yield math.log10(_RANK[s] + 1) + (0 if s == value[a:b] else math.log10(2 * n))
         if n >= 3:
-            pairs, before = list(zip(s, s[1:])), low[a - 1 : a] if a else ""
-            if all(x == y for x, y in pairs) and before != s[0]:
+            pairs = list(zip(s, s[1:]))
+            if all(x == y for x, y in pairs):
                 yield _charset(value[b - 1]) + math.log10(n)
-            if all(_near(x, y) for x, y in pairs) and not (before and _near(before, s[0])):
+            if all(_near(x, y) for x, y in pairs):
                 yield math.log10(188) + math.log10(n)
             steps = {ord(y) - ord(x) for x, y in pairs}
-            if len(steps) == 1 and (step := steps.pop()) in (1, -1) and not (before and ord(s[0]) - ord(before) == step):
+            if len(steps) == 1 and steps.pop() in (1, -1):
                 yield math.log10(52) + math.log10(n)
         if _DATE.fullmatch(s):
             yield math.log10(365 * 120 if n > 4 else 120)
@@ -195,8 +197,9 @@ def brute_cost(value):
 
 def test_guess_cost_is_the_least():
     rnd = random.Random(4)
-    values = ["password123", "qwertyuiop", "aaabbb", "2024-01-01x", "abcdefg", "Tr0ub4dor&3", "loginadmin1999", "zyxabc111", "é" * 4]
+    values = ["password123", "qwertyuiop", "aaabbb", "2024-01-01x", "abcdefg", "Tr0ub4dor&3", "loginadmin1999", "zyxabc111", "é" * 4, "passworddddddddd", "qwertyqwertyuiop", "abcdcba1234321", "your_token_here"]
     values += ["".join(rnd.choice(["pass", "abc", "111", "2019", "qwe", "x", "9", "Love"]) for _ in range(5)) for _ in range(60)]
+    values += ["".join(rnd.choice(alphabet) for _ in range(12)) for alphabet in ("ab", "qwer", "12", "123", "adminpw", "_0-2019") for _ in range(30)]
     for v in values:
         assert secrets.guess_cost(v) == pytest.approx(brute_cost(v)), v
 
@@ -224,6 +227,15 @@ def test_secrets(spark):
     assert secrets.scan_secrets(empty(spark)).isEmpty()
 
 
+def test_words_are_no_secrets():
+    words = secrets.Words(secrets.load_words(WORDS))
+    assert len(words.rank) > 20_000
+    for prose in ("password is required", "passphrase is important", "token=your_token_here_please", "password: iloveyouforever", "secret: management", "credentials: information"):
+        assert not [s for s in secrets.find_spans(prose, words=words) if s[1] == 3], prose
+    for text in ("password is x9K2mPq7Lw!", "bearer dXNlcjp4OUsybVBxN0x3Wg==", "pwd: tq8vZr3kLm2c"):
+        assert [s for s in secrets.find_spans(text, words=words) if s[1] == 3], text
+
+
 @pytest.mark.parametrize("head", ["Authorization: Bearer ", "authorization: Basic ", "Authorization: Token ", "Authorization: Digest ", "token: Bearer ", "token = 'Bearer ", "Authorization: ", "bearer ", '"Authorization": "Bearer '])
 def test_secrets_in_header_lines(spark, head):
     value = "dXNlcjp4OUsybVBxN0x3Wg=="
