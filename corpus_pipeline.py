@@ -37,7 +37,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    masked = secrets.redact(docs)
+    import public_tokenizers
+
+    masked = secrets.redact(docs, vocabulary_path=public_tokenizers.path("word_bpe_49k.json"))
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return _like(docs, masked)
