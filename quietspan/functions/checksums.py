@@ -37,6 +37,27 @@ def check_digits(country: Column, account: Column) -> Column:
     return F.lpad((98 - rest).cast("string"), 2, "0")
 
 
+def _digits(text: Column) -> Column:
+    return F.transform(F.split(text, "(?!^)(?!$)"), lambda c: F.ascii(c) - 48)
+
+
+def _weighted(digits: Column, weights: tuple[int, ...], term=lambda x: x) -> Column:
+    return F.aggregate(F.zip_with(digits, F.array(*map(F.lit, weights)), lambda d, w: term(d * w)), F.lit(0), lambda s, x: s + x)
+
+
+def nhs(digits: Column) -> Column:
+    """British health service number: ten digits, the last one makes the sum weighted 10 to 1 divisible by 11."""
+    return digits.rlike("^[0-9]{10}$") & (_weighted(_digits(digits), tuple(range(10, 0, -1))) % 11 == 0)
+
+
+def pension(number: Column) -> Column:
+    """German pension insurance number: area, date of birth, letter as its number in two digits, serial, and the sum of the weighted digits' own digits modulo 10."""
+    letter = F.lpad((F.ascii(F.substring(number, 9, 1)) - 64).cast("string"), 2, "0")
+    body = F.concat(F.substring(number, 1, 8), letter, F.substring(number, 10, 2))
+    total = _weighted(_digits(body), (2, 1, 2, 5, 7, 1, 2, 1, 2, 1, 2, 1), lambda x: F.floor(x / 10).cast("int") + x % 10)
+    return F.when(number.rlike("^[0-9]{8}[A-Z][0-9]{3}$"), total % 10 == F.ascii(F.substring(number, 12, 1)) - 48).otherwise(False)
+
+
 def mod11_10(digits: Column) -> Column:
     """ISO 7064 MOD 11,10 over 11 digits (German tax id): also some digit of the first ten repeats, not more than three times."""
 

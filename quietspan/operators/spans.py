@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quietspan.functions import patterns as P
-from quietspan.functions.checksums import luhn, mod97
+from quietspan.functions.checksums import luhn, mod11_10, mod97, nhs, pension
 from quietspan.functions.text import collapse_separators
 
 SPAN = "struct<detector:string,start:int,end:int,text:string>"
@@ -129,18 +129,60 @@ def iban_spans(text: Column) -> Column:
 
 def tax_id_spans(text: Column) -> Column:
     """German tax ids: eleven digits standing alone whose check digit holds."""
-    found = F.filter(located(text, r"(?<![0-9A-Za-z])[1-9][0-9]{10}(?![0-9A-Za-z])"), lambda m: _tax(m["text"]))
+    found = F.filter(located(text, r"(?<![0-9A-Za-z])[1-9][0-9]{10}(?![0-9A-Za-z])"), lambda m: mod11_10(m["text"]))
     return F.transform(found, lambda m: _span("steuer_idnr", m["start"], m["text"]))
 
 
-def _tax(c: Column) -> Column:
-    from quietspan.functions.checksums import mod11_10
+_ALONE = ("(?<![0-9A-Za-z])", "(?![0-9A-Za-z])")
 
-    return mod11_10(c)
+
+def ssn_spans(text: Column) -> Column:
+    """United States social security numbers, written with hyphens; numbers never issued are none."""
+    found = located(text, r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])")
+    return F.transform(found, lambda m: _span("ssn", m["start"], m["text"]))
+
+
+def nhs_spans(text: Column) -> Column:
+    """British health service numbers, in one piece or as 3, 3 and 4 digits."""
+    found = located(text, _ALONE[0] + "[0-9]{3} ?[0-9]{3} ?[0-9]{4}" + _ALONE[1])
+    return F.transform(F.filter(found, lambda m: nhs(F.replace(m["text"], F.lit(" "), F.lit("")))), lambda m: _span("nhs", m["start"], m["text"]))
+
+
+def pension_spans(text: Column) -> Column:
+    """German pension insurance numbers: area, day, month and year of birth, letter, serial, check digit."""
+    found = located(text, _ALONE[0] + "[0-9]{2}(?:0[1-9]|[12][0-9]|3[01])(?:0[1-9]|1[0-2])[0-9]{2}[A-Z][0-9]{3}" + _ALONE[1])
+    return F.transform(F.filter(found, lambda m: pension(m["text"])), lambda m: _span("versicherungsnummer", m["start"], m["text"]))
+
+
+def secret_spans(text: Column) -> Column:
+    """Credentials of well-known shapes."""
+    return F.transform(located(text, "|".join(P.SECRETS)), lambda m: _span("secret", m["start"], m["text"]))
+
+
+def residue_windows(text: Column, claimed: Column) -> Column:
+    """Parts of over-long unseparated digit runs that no claimed span overlaps, with an issuer's prefix and length and a valid check digit."""
+
+    def of_issuer(run: Column, prefix: str, n: int) -> Column:
+        starts = F.sequence(F.lit(0), F.length(run["text"]) - n)
+        parts = F.transform(starts, lambda i: F.struct(i.alias("at"), F.substring(run["text"], i + 1, F.lit(n)).alias("text")))
+        return F.filter(parts, lambda p: F.when(p["text"].rlike(f"^(?:{prefix})"), luhn(p["text"])).otherwise(False))
+
+    def of_run(run: Column) -> Column:
+        tried = [of_issuer(run, prefix, n) for prefix, lengths in P.ISSUERS for n in lengths]
+        return F.transform(F.concat(*tried), lambda p: _span("credit_card", run["start"] + p["at"], p["text"]))
+
+    long = located(text, "[0-9]{20,}+")
+    free = F.filter(long, lambda r: ~F.exists(claimed, lambda s: (s["start"] < r["start"] + F.length(r["text"])) & (r["start"] < s["end"])))
+    return F.flatten(F.transform(free, of_run))
+
+
+def residue_spans(text: Column, claimed: Column) -> Column:
+    """The disjoint ones of ``residue_windows``, longest first. An opt-in: a few windows of any long number pass by chance."""
+    return disjoint(residue_windows(text, claimed))
 
 
 #: Detectors by id, for queries over several of them.
-DETECTORS = {"credit_card": card_spans, "iban": iban_spans, "steuer_idnr": tax_id_spans}
+DETECTORS = {"credit_card": card_spans, "iban": iban_spans, "steuer_idnr": tax_id_spans, "ssn": ssn_spans, "nhs": nhs_spans, "versicherungsnummer": pension_spans, "secret": secret_spans}
 
 
 def merge_spans(*arrays: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quietspan.functions.text import suspicious
-from quietspan.operators.spans import mask
+from quietspan.operators.spans import card_spans, iban_scan, mask
 
 ACTIONS = ("allow", "mask", "quarantine")
 MASK_AT, QUARANTINE_AT = 0.25, 0.70
@@ -69,6 +69,42 @@ def with_decision(items: DataFrame, policy: Policy, text_col: str = "text", span
     return out.withColumns({"output": shown, "categories": categories})
 
 
+def with_verdicts(items: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Items with their action raised by the verdicts (item_id, topic, confidence) of a topic layer, one per item at most.
+
+    A verdict can only raise an action. A missing one, or one without topic or confidence, has failed and quarantines.
+    """
+    joined = items.join(verdicts.select("item_id", "topic", "confidence"), "item_id", "left")
+    asked = F.when(F.col("topic").isNull(), "quarantine").when(F.col("topic") == "none", "allow").otherwise(decide_by_confidence(F.col("confidence")))
+    return joined.withColumn("action", action_of(F.greatest(severity(F.col("action")), severity(asked)))).drop("topic", "confidence")
+
+
+def notices(items: DataFrame) -> DataFrame:
+    """Withheld items (item_id, sender, subject, action, categories) as metadata: the sender's domain, and the subject only where its own scan ends without a finding."""
+    subject = F.coalesce("subject", F.lit(""))
+    scan = iban_scan(subject)
+    clean = (scan["status"] == "ok") & (F.size(scan["spans"]) == 0) & (F.size(card_spans(subject)) == 0)
+    domain = F.lower(F.regexp_extract("sender", r"@([^@>\s]++)", 1))
+    return items.where("action <> 'allow'").select("item_id", domain.alias("sender_domain"), F.when(clean, F.col("subject")).alias("subject"), "categories")
+
+
+def simulate(items: DataFrame, now: Column, days: int, policy: Policy, *by: str) -> DataFrame:
+    """Counts of what ``policy`` would have done to the items (at, text, spans) of the last ``days``; nothing is written."""
+    return withheld_counts(with_decision(retain(items, "at", now, days), policy), *by)
+
+
+def progress(items: DataFrame, decided: DataFrame, *by: str) -> DataFrame:
+    """How many items there are and how many have a decision (item_id), so that partial results can be told from whole ones."""
+    known = decided.select("item_id").distinct().withColumn("__known", F.lit(True))
+    counted = items.join(known, "item_id", "left").groupBy(*by).agg(F.count("*").alias("total"), F.count("__known").alias("scanned"))
+    return counted.withColumn("complete", F.col("scanned") == F.col("total"))
+
+
+def attachment_action(attachments: Column) -> Column:
+    """The action that a message's attachments (array of structs with a boolean ``scanned``) ask for: one that could not be scanned withholds the whole message."""
+    return F.when(F.exists(attachments, lambda a: ~F.coalesce(a["scanned"], F.lit(False))), "quarantine").otherwise("allow")
+
+
 def narrow(purpose: Column, level: Column) -> Column:
     """An action level under a stated purpose: never looser than unspecified, and an unknown purpose is unspecified."""
     allowed = F.create_map(*[F.lit(x) for p, n in PURPOSES.items() for x in (p, n)])

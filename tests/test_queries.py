@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quietspan.plans import registry
+from quietspan.plans import qa_queries, registry  # noqa: F401 - adds its queries
 
 
 @pytest.fixture(scope="module")
