@@ -142,3 +142,42 @@ def test_stages_keep_the_columns(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs.limit(0) if name == "neardup" else docs, sf_dir)
         assert out.columns == docs.columns and [t for _, t in out.dtypes] == [t for _, t in docs.dtypes]
+
+
+def test_pipeline_awkward(spark, tmp_path):
+    """Nulls, empty and repeated rows, a long text, columns named like results; then empty tables."""
+    toxic, fine = "you are vile scum and trash", "a fine day to walk by the river with all my friends"
+    texts = [fine + f" number {i}" for i in range(12)] + [toxic + f" {i}" for i in range(12)]
+    rows = [(i, t, "x", None, i, True, "n", ["q"]) for i, t in enumerate(texts)]
+    extra = [(100, None), (101, ""), (102, "!?"), (103, "password=x9K2mPq7Lw is mine"), (103, "password=x9K2mPq7Lw is mine"), (None, "no id here at all"), (104, "Lorem " * 40_000), (105, "one two three four five six seven eight nine ten eleven twelve")]
+    rows += [(i, t, None, 1, 2, None, None, None) for i, t in extra]
+    names = "doc_id long, text string, Toxic string, grade int, class_id long, stays boolean, n_words string, items array<string>"
+    save = lambda data, schema, name, folder: spark.createDataFrame(data, schema).write.parquet(str(tmp_path / folder / f"{name}.parquet"))
+    save(rows, names, "documents", "full")
+    save([(i, int(i >= 12)) for i in range(24)] + [(None, 1), (100, None)], "doc_id long, toxic int", "labels", "full")
+    save([(1, "Three four five, six seven eight nine TEN eleven twelve"), (None, None), (2, "")], "item_id long, text string", "benchmark", "full")
+    docs = spark.read.parquet(str(tmp_path / "full" / "documents.parquet"))
+    out = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, str(tmp_path / "full"))
+        assert out.dtypes == docs.dtypes
+    kept = {(r.doc_id, r.text) for r in out.collect()}
+    assert {100, 101, 102, 103, 104, None} <= {i for i, _ in kept} and 105 not in {i for i, _ in kept}
+    assert not any(i in range(12, 24) for i, _ in kept if i is not None) and (103, "password=x9K2mPq7Lw is mine") not in kept
+    assert out.where("doc_id = 103").count() == 1 and out.where("doc_id < 12 AND (Toxic <> 'x' OR items[0] <> 'q')").isEmpty()
+    got = corpus_pipeline.run(spark, str(tmp_path / "full"))
+    assert got.count() == out.count() and got.where("doc_id = 100").first().n_tokens == 0
+    for name, schema in (("documents", names), ("labels", "doc_id long, toxic int"), ("benchmark", "item_id long, text string")):
+        save([], schema, name, "empty")
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).isEmpty()
+
+
+def test_op5_recall(spark, larger):
+    """Over the links that brute force finds between different texts."""
+    from tests.llm.test_pair_ops import brute_links
+
+    folder, texts = larger
+    docs = sorted(texts.items())
+    links = [(docs[a][0], docs[b][0]) for a, b in brute_links(docs) if docs[a][1] != docs[b][1]]
+    got = {r.doc_id: r.class_id for r in rows(spark, folder, "op5_neardup")}
+    assert len(links) > 5 and sum(got[a] == got[b] for a, b in links) >= 0.99 * len(links)

@@ -1,8 +1,10 @@
 """Operators over pairs and the whole corpus, against brute force."""
 
+import bisect
 import hashlib
 import random
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -96,9 +98,37 @@ def test_window_classes_are_longest_factors():
 # --- near-duplicates
 
 
+def brute_links(docs):
+    """Pairs of places whose longest common subsequence of labelled shingles is long enough, with nothing of the operator's own."""
+    sequences, holders = [], defaultdict(list)
+    for i, (_, t) in enumerate(docs):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        seen, own = defaultdict(int), {}
+        for k in range(max(1, len(words) - 4) if words else 0):
+            s = tuple(words[k : k + 5])
+            seen[s] += 1
+            own[s, seen[s]] = k
+        for s in own:
+            holders[s].append(i)
+        sequences.append(own)
+    common = Counter()
+    for some in holders.values():
+        common.update((a, b) for x, b in enumerate(some) for a in some[:x])
+    links = []
+    for (i, j), n in common.items():
+        a, b = sequences[i], sequences[j]
+        if n / (len(a) + len(b) - n) >= 0.8 - 1e-9:  # as sets; in order there can only be fewer
+            tails = []
+            for place in (b[s] for s in a if s in b):
+                k = bisect.bisect_left(tails, place)
+                tails[k : k + 1] = [place]
+            if len(tails) / (len(a) + len(b) - len(tails)) >= 0.8 - 1e-9:
+                links.append((i, j))
+    return links
+
+
 def brute_classes(docs):
-    shingles = [neardup.labelled_shingles((t or "").encode()) for _, t in docs]
-    links = [(i, j) for j in range(len(docs)) for i in range(j) if neardup.aligned(shingles[i], shingles[j]) >= 0.8]
+    links = brute_links(docs)
     root = partition(len(docs), links)
     least = {}
     for i, r in enumerate(root):
@@ -249,3 +279,5 @@ def test_vectors_awkward(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).isEmpty()
     same = spark.createDataFrame([(1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, vectors.near_duplicates(same).collect())) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
+    nulls = spark.createDataFrame([(None, [1.0, 2.0]), (None, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [2.0, 4.0])], "vec_id long, embedding array<float>")
+    assert sorted(map(repr, map(tuple, vectors.near_duplicates(nulls).collect()))) == sorted(map(repr, [(None, 0, None, True), (None, 0, None, True), (1, 1, 1, True), (2, 1, 1, False)]))
