@@ -5,6 +5,10 @@ id). decontaminate: drops documents that hold a benchmark passage. secrets: mask
 (n_chars follows). bpe: token ids of what is left. ORACLE_SQL is None: the stages hold a fitted model, a
 sketch and a dynamic program, which SQL does not express; tests/llm compares run() with a brute-force
 version.
+
+Defined results: rows with a null text are neither toxic nor contaminated, stand alone in their class and
+have no ids; wholly repeated rows are one; empty tables give empty ones; further columns pass through
+whatever their names are.
 """
 
 from __future__ import annotations
@@ -18,22 +22,27 @@ from quietspan.llm import bpe, decontaminate, neardup, secrets, toxicity
 from quietspan.llm.rows import materialise, table
 
 
-def _like(docs: DataFrame, out: DataFrame) -> DataFrame:
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+def _apart(docs: DataFrame) -> DataFrame:
+    """The id and text for an operator, and the whole row beside them: no column of a document can clash with a result."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
+
+
+def _rows(out: DataFrame) -> DataFrame:
+    return out.select("__doc.*")
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return _like(docs, toxicity.score(docs, model).where("not toxic"))
+    return _rows(toxicity.score(_apart(docs), model).where("not toxic"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _like(docs, neardup.classes(docs).where("stays"))
+    return _rows(neardup.classes(_apart(docs)).where("stays"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _like(docs, found.where("not contaminated"))
+    found = decontaminate.decontaminate(_apart(docs), table(spark, sf_dir, "benchmark"))
+    return _rows(found.where("not contaminated"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +51,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     masked = secrets.redact(docs, vocabulary_path=public_tokenizers.path("word_bpe_49k.json"))
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return _like(docs, masked)
+    return masked.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
