@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Edges are first thinned inside each partition to a spanning forest (a union-find over the partition's
-own edges), so dense groups shrink before anything is shuffled. Each step is an aggregation (combined
+own edges), so dense groups shrink before anything is shuffled. Where at most ``FEW`` edges are left, one task
+joins those trees in the same way; beyond that steps go on over all partitions. Each step is an aggregation (combined
 before its shuffle) and an equi-join that Spark may split where a node has very many edges. Steps are
 written to the shared folder; nothing but two numbers a step reaches the driver.
 """
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 from quietspan.llm.rows import discard, materialise
 
 
+#: So many edges are joined by one task.
+FEW = 1 << 17
+
+
 def _forest(batches):
     """Star edges (node, least node of its tree) of a partition's edges."""
     parent: dict = {}
@@ -42,12 +47,16 @@ def _forest(batches):
             yield pa.RecordBatch.from_arrays([pa.array(some, kind), pa.array([root(n) for n in some], kind)], names=names)
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, few: int = FEW) -> DataFrame:
     """(node, component): each node of an edge with the least node it reaches. Loops are ignored; null ends too."""
     kind = edges.schema[a].dataType
     schema = f"a {kind.simpleString()}, b {kind.simpleString()}"
     pairs = edges.select(F.col(a).alias("a"), F.col(b).cast(kind).alias("b")).where("a <> b").mapInArrow(_forest, schema)
     pairs = materialise(pairs, "components")
+    if pairs.count() <= few:
+        last, pairs = pairs, materialise(pairs.coalesce(1).mapInArrow(_forest, schema), "components")
+        discard(last)
+        return _labelled(pairs)
 
     def state(df):
         row = df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -64,4 +73,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         last, pairs = pairs, materialise(small, "components")
         discard(last)
-    return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return _labelled(pairs)
+
+
+def _labelled(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -30,16 +30,17 @@ def partition(n, links):
 # --- components
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1 << 17])
+def test_components(spark, few):
     rnd = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(200, 260)] + [(rnd.randint(300, 400), rnd.randint(300, 400)) for _ in range(70)] + [(7, 7)]
     nodes = sorted({x for e in edges if e[0] != e[1] for x in e})
     place = {x: i for i, x in enumerate(nodes)}
     want = partition(len(nodes), [(place[a], place[b]) for a, b in edges if a != b])
-    df = spark.createDataFrame(edges, "x long, y long").repartition(6)
-    got = {r.node: r.component for r in components.components(df, "x", "y").collect()}
+    df = spark.createDataFrame([*edges, (None, 100), (5, None)], "x long, y long").repartition(6)
+    got = {r.node: r.component for r in components.components(df, "x", "y", few).collect()}
     assert got == {x: nodes[want[i]] for i, x in enumerate(nodes)}
-    assert components.components(df.limit(0), "x", "y").isEmpty()
+    assert components.components(df.limit(0), "x", "y", few).isEmpty()
 
 
 # --- repeats
