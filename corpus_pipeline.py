@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietspan.llm import bpe, decontaminate, neardup, secrets, toxicity
-from quietspan.llm.rows import materialise, table
+from quietspan.llm.rows import discard, materialise, table
 
 
 def _apart(docs: DataFrame) -> DataFrame:
@@ -74,7 +74,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), False
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        made = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if written:
+            discard(docs)
+        docs, written = made, True
     return docs
