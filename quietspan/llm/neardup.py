@@ -13,8 +13,9 @@ components; the least document id stands for a class.
 How the work is dealt out. Equal word sequences are one node, counted before any shuffle. In each bucket
 of a sketch every node is compared with the bucket's least node, so there are as many pairs as rows,
 however large the bucket. Where some comparison in a bucket fails, the pairs among its other members are
-still open, and all of them that lie in two components so far are searched: the bucket is dealt in blocks
-of ``BLOCK`` members, each block meets each other, and a pair is dropped only where it cannot link, by the
+still open, and all of them that lie in two components so far are searched: the members of the bucket's
+largest component are dealt in chunks of ``BLOCK``, the others in blocks of as many, each block meets each
+chunk and each other block, and a pair is dropped only where it cannot link, by the
 sizes or by the counts of its shingles in 256 bins (the L1 distance of the counts is at most the number of
 shingles that do not match). Of the pairs left each node first verifies its nearest few, components are
 joined, and a round with more of them follows until none is left between two components. So every pair
@@ -217,13 +218,24 @@ def _open_pairs(members: DataFrame, profiles: DataFrame, links: DataFrame, thres
     """(a, b, more) of the pairs of each bucket of ``members`` (bucket, node) that are in two components of ``links`` and may link."""
     reach = components(links, "a", "b")
     named = members.join(reach, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    mixed = named.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    dealt = named.join(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks")), "bucket").withColumn("side", F.pmod(F.xxhash64("node"), "blocks"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "node", "component")
+    sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("home"), F.sum("n").alias("n"), F.count("*").alias("components")).where("components > 1")
+    mixed = mixed.select("bucket", F.col("home.component").alias("home"), F.ceil(F.col("home.n") / BLOCK).alias("chunks"), F.ceil((F.col("n") - F.col("home.n")) / BLOCK).alias("blocks"))
+    dealt = named.join(mixed, "bucket").withColumn("at_home", F.col("component") == F.col("home"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("at_home"), F.col("chunks")).otherwise(F.col("blocks"))))
+    # The largest component's members are dealt into chunks and the others into blocks: each block meets each chunk and each block.
+    zero = F.lit(0).cast("long")
+    meets = lambda n, place: F.transform(F.sequence(zero, n - 1), place)
+    met = F.when(F.col("at_home"), meets(F.col("blocks"), lambda b: F.struct(F.lit(True).alias("home"), F.col("own").alias("p"), b.alias("q"), zero.alias("side")))).otherwise(
+        F.concat(
+            meets(F.col("chunks"), lambda c: F.struct(F.lit(True).alias("home"), c.alias("p"), F.col("own").alias("q"), F.lit(1).cast("long").alias("side"))),
+            meets(F.col("blocks"), lambda b: F.struct(F.lit(False).alias("home"), F.least("own", b).alias("p"), F.greatest("own", b).alias("q"), F.col("own").alias("side"))),
+        )
+    )
+    dealt = dealt.select("bucket", "node", "component", F.explode(met).alias("met")).select("bucket", "node", "component", "met.*")
     dealt = dealt.join(profiles, "node")
-    blocks = dealt.groupBy("bucket", "p", "q").agg(F.collect_list(F.struct("node", "component", "side", "size", "profile")).alias("members"))
-    return blocks.select((F.col("p") == F.col("q")).alias("same"), "members").mapInArrow(partial(_nearest, threshold=threshold, most=most), _NEAR)
+    blocks = dealt.groupBy("bucket", "home", "p", "q").agg(F.collect_list(F.struct("node", "component", "side", "size", "profile")).alias("members"))
+    return blocks.select((~F.col("home") & (F.col("p") == F.col("q"))).alias("same"), "members").mapInArrow(partial(_nearest, threshold=threshold, most=most), _NEAR)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
