@@ -11,9 +11,9 @@ import public_tokenizers as vocab
 import pytest
 
 import corpus_pipeline
-from quietspan.llm import bpe, queries, toxicity
+from quietspan.llm import bpe, queries, secrets, toxicity
 from tests.llm.test_pair_ops import brute_classes, brute_repeats
-from tests.llm.test_rows_ops import brute_base
+from tests.llm.test_rows_ops import brute_base, brute_cost, greedy_counts
 
 RANKS = vocab.path("byte_bpe_50k.tiktoken")
 
@@ -64,9 +64,13 @@ def test_op5(spark, sf_dir, texts):
     assert {r.doc_id: r.class_id for r in rows(spark, sf_dir, "op5_neardup")} == want
 
 
-def test_op7_op8(spark, sf_dir, texts):
-    for name in ("op7_toxicity", "op8_token_counts"):
-        assert sorted(r.doc_id for r in rows(spark, sf_dir, name)) == sorted(texts)
+def test_op7(spark, sf_dir, texts):
+    assert sorted(r.doc_id for r in rows(spark, sf_dir, "op7_toxicity")) == sorted(texts)
+
+
+def test_op8(spark, sf_dir, texts):
+    counts = greedy_counts()
+    assert {r.doc_id: (r.n_words, r.n_tokens) for r in rows(spark, sf_dir, "op8_token_counts")} == {d: counts(t) for d, t in texts.items()}
 
 
 @pytest.fixture(scope="module")
@@ -78,11 +82,14 @@ def larger(sf_dir):
 
 def test_op9(spark, larger):
     folder, texts = larger
-    found = 0
+    found, words = 0, secrets.Words(secrets.load_words(vocab.path("word_bpe_49k.json")))
     for r in rows(spark, folder, "op9_secrets"):
         base = ",".join(f"{k}:{a}:{b}" for a, _, k, b in brute_base(texts[r.doc_id]))
         found += bool(base)
         assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        values = {m.span(1) for m in secrets.CONTEXT.finditer(texts[r.doc_id])} | {m.span(2) for m in secrets.ASSIGN.finditer(texts[r.doc_id]) if len(m[2]) > 5}
+        guessed = sorted((a, b) for a, b in values if brute_cost(texts[r.doc_id][a:b], words) >= secrets.MIN_LOG10_GUESSES)
+        assert [s for s in r.spans.split(",") if s.startswith("guess")] == [f"guess:{a}:{b}" for a, b in guessed] and r.n_guess == len(guessed)
     assert found
 
 

@@ -129,7 +129,8 @@ def test_bpe_equals_the_library_and_decodes(spark):
 # --- token counts
 
 
-def test_token_counts_are_greedy(spark):
+def greedy_counts():
+    """(words, pieces) of a text by trying the longest entry first."""
     import regex
 
     entries, pattern = token_counts.load_vocabulary(WORDS)
@@ -144,10 +145,18 @@ def test_token_counts_are_greedy(spark):
             n += 1
         return n
 
+    def counts(text):
+        found = regex.findall(pattern, unicodedata.normalize("NFC", text or "").lower())
+        return len(found), sum(greedy(w.encode()) for w in found)
+
+    return counts
+
+
+def test_token_counts_are_greedy(spark):
+    counts = greedy_counts()
     texts = TEXTS + ["e\u0301te\u0301 x", "q" * 30_000]
     for r in token_counts.count_tokens(docs(spark, texts), WORDS).collect():
-        found = regex.findall(pattern, unicodedata.normalize("NFC", texts[r.doc_id] or "").lower())
-        assert (r.n_words, r.n_tokens) == (len(found), sum(greedy(w.encode()) for w in found))
+        assert (r.n_words, r.n_tokens) == counts(texts[r.doc_id])
     assert token_counts.count_tokens(empty(spark), WORDS).isEmpty()
 
 
@@ -161,13 +170,13 @@ def brute_base(t):
     return sorted(((m.start(), order[k], k, m.end()) for k, m in found))
 
 
-def brute_cost(value):
+def brute_cost(value, words=secrets.Words()):  # noqa: B008
     """The cheapest segmentation, over all of them."""
     import math
 
-    from quietspan.llm.secrets import _COMMON_ONLY, _DATE, _charset, _near
+    from quietspan.llm.secrets import _DATE, _charset, _near
 
-    _RANK = _COMMON_ONLY.rank
+    _RANK = words.rank
 
     low = value.lower()
 
