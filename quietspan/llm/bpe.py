@@ -103,8 +103,8 @@ class Recent:
         if len(self.now) > self.limit:
             self.now, self.past = {}, self.now
 
-    def unknown(self, keys: set) -> set:
-        """The keys it does not have; all others are in ``now`` then."""
+    def unknown(self, keys) -> set:
+        """Of distinct keys those it does not have; all others are in ``now`` then."""
         now, past = self.now, self.past
         keys = {k for k in keys if k not in now}
         now.update((k, past[k]) for k in keys if k in past)
@@ -261,11 +261,11 @@ class Coder:
         start = start - ((data[np.maximum(start - 1, 0)] == 0x20) & (start > 0))
         first, which = rolling.distinct(joined, start, stop)
         pieces = [joined[a:b] for a, b in zip(start[first].tolist(), stop[first].tolist())]
-        new = list(self.raw.unknown(set(pieces)))
+        new = list(self.raw.unknown(pieces))
         now, ids = self.raw.now, self.encode_pieces(new)
         now.update((p, ids[p]) for p in new)
         codes = [now[p] for p in pieces]
-        size = np.array([len(c) // 4 for c in codes])
+        size = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
         pool, base = np.frombuffer(b"".join(codes), "<u4"), np.cumsum(size) - size
         n = size[which]
         ends = np.cumsum(n)

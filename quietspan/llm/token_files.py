@@ -127,11 +127,11 @@ class Encoder:
         text = data.tobytes()
         first, which = rolling.distinct(text, start, stop)
         words = [text[a:b] for a, b in zip(start[first].tolist(), stop[first].tolist())]
-        new = self.raw.unknown(set(words))
+        new = self.raw.unknown(words)
         now = self.raw.now
         now.update((w, self._word(w.decode())) for w in new)
         codes = [now[w] for w in words]
-        size = np.array([len(c) // 4 for c in codes])
+        size = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
         pool, base = np.frombuffer(b"".join(codes), "<u4"), np.cumsum(size) - size
         n = size[which]
         ends = np.cumsum(n)
@@ -164,7 +164,9 @@ def _grouped(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     if bits + room > 63:
         order = np.argsort(key)
         return order, key[order]
-    both = np.sort(key << room | np.arange(len(key)))
+    both = key << room
+    both |= np.arange(len(key))
+    both.sort()
     return both & ((1 << room) - 1), both >> room
 
 
@@ -187,12 +189,14 @@ def compress(ids: np.ndarray, base: int, least: int = MIN_COUNT) -> tuple[np.nda
         bits = top.bit_length()
         key = a << bits | b
         count = np.ones(len(place), bool)
-        run = np.zeros(len(place), bool)  # a pair of equal symbols next to one: every second of them counts
-        run[1:] = (a[1:] == b[1:]) & (place[:-1] == before[place[1:]]) & (a[1:] == a[:-1])
-        if run.any():
-            at = np.arange(len(place))
+        equal = np.flatnonzero(a == b)
+        equal = equal[equal > 0]
+        equal = equal[(a[equal - 1] == a[equal]) & (place[equal - 1] == before[place[equal]])]
+        if len(equal):  # a pair of equal symbols next to one: every second of them counts
+            run, at = np.zeros(len(place), bool), np.arange(len(place))
+            run[equal] = True
             count = (at - np.maximum.accumulate(np.where(run, 0, at))) % 2 == 0
-        order, ordered = _grouped(key[count], 2 * bits)
+        order, ordered = _grouped(key if count.all() else key[count], 2 * bits)
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         counts = np.diff(np.append(first, len(ordered)))
         some = np.flatnonzero(counts >= least)
