@@ -247,10 +247,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     nodes = wordy.groupBy("node").agg(F.min(F.struct("id", "th")).alias("row"), *(F.first(c).alias(c) for c in ("sketches", "size")))
     nodes = materialise(nodes, "neardup-nodes")
 
-    bucket = materialise(nodes.select(F.posexplode("sketches").alias("i", "sketch"), "node").select(F.xxhash64("i", "sketch").alias("bucket"), "node"), "neardup-buckets")
+    bucket = nodes.select(F.posexplode("sketches").alias("i", "sketch"), "node").select(F.xxhash64("i", "sketch").alias("bucket"), "node")
     least = bucket.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("bucket", "least")
     met = materialise(bucket.join(least, "bucket").where("node <> least"), "neardup-met")
-    discard(bucket)
     pairs = materialise(met.select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "neardup-pairs")
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     asked = asked.join(nodes.select("node", F.col("row.id").alias("nid"), F.col("row.th").alias("th")), "node")
