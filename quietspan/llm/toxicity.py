@@ -1,9 +1,9 @@
 """Toxicity by cumulative-link ordinal regression over sparse text features.
 
 Features are the words of a text and their prefixes of 4, 5 and 6 bytes, hashed to ``2**HASH_BITS``
-places; a feature's value is 1 + log2 of its count, at most ``MAX_VALUE``. The model has one weight vector for all grades and one threshold per
-grade: P(grade >= k) = sigmoid(w.x - b_k) with 0 < b_1 < b_2 < b_3, so that a text without evidence is not toxic. It gives each text its expected severity,
-the sum of those probabilities; texts with P(grade >= 1) over one half are toxic.
+places; a feature's value is 1 + log2 of its count, at most ``MAX_VALUE``. The model has one weight vector
+for all grades and one threshold per grade: P(grade >= k) = sigmoid(w.x - b_k) with 0 < b_1 < b_2 < b_3, so
+that a text without evidence is not toxic. It gives each text its expected severity, the sum of those probabilities; texts with P(grade >= 1) over one half are toxic.
 
 Labels are 0/1; grades above 0 come from them: labelled toxic texts are graded by the thirds of the
 number of their features that the labels single out. Fitting uses at most ``MAX_LABELLED`` labelled
@@ -13,7 +13,8 @@ their standard error) are fitted, with a ridge penalty; a class counts as much a
 however many of them were taken, so the model is alike at every size. Scoring
 runs over all rows, one pass, no shuffle, with a weight table of fixed size.
 
-Defined results: null and wordless texts have no features and get the base severity, never toxic; without labels of both classes all severities are 0;
+Defined results: null and wordless texts have no features and get the base severity, never toxic;
+without labels of both classes all severities are 0;
 repeated label rows count once, toxic wins; null labels are left out.
 """
 

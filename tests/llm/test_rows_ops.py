@@ -280,6 +280,15 @@ def test_toxicity_awkward(spark):
     assert toxicity.score(empty(spark), model).isEmpty()
 
 
+def test_toxicity_few_labels(spark):
+    rows = [(i, f"you are vile scum number{i}" if i % 2 else f"a fine day number{i}") for i in range(40)]
+    documents = spark.createDataFrame(rows + [(100, "words that no label has")], "doc_id long, text string")
+    for n in (1, 5):
+        model = toxicity.train(documents, spark.createDataFrame([(i, i % 2) for i in range(2 * n)], "doc_id long, toxic int"))
+        got = {r.doc_id: r.toxic for r in toxicity.score(documents, model).collect()}
+        assert len(model.index) and all(got[i] == bool(i % 2) for i in range(40)) and not got[100]
+
+
 # --- token files
 
 
