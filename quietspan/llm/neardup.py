@@ -51,9 +51,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 24
 ORDER = 3
-BLOCK = 256
+BLOCK = 1024
 #: Nearest open pairs that each member of a block verifies, round by round; at last all of them.
-NEAREST = (2, 16, 2 * BLOCK, None)
+NEAREST = (2, 16, 512, None)
 _ODD = np.random.default_rng(20260102).integers(0, 2**63, (2, SKETCHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
