@@ -224,6 +224,27 @@ def test_neardup_finds_pairs_beside_a_failed_comparison(spark):
     assert all(got[d] == 0 for d in range(1001))
 
 
+def test_neardup_takes_an_open_pair_in_one_bucket(spark):
+    """Of 40 texts that share most buckets every pair that shares one and may link comes once, however many they share."""
+    rnd = random.Random(8)
+    word = lambda: f"v{rnd.randrange(10**9)}"
+    original, members, profiles, counts, keys = [word() for _ in range(104)], [], [], [], []
+    for k in range(40):
+        w = list(original)
+        w[rnd.randrange(5, 99)] = word()
+        shingles = neardup.labelled_shingles(" ".join(w).encode())
+        node, own = bytes([k]), [hash((i, x)) for i, x in enumerate(neardup.sketches(shingles).tolist())]
+        members += [(b, node) for b in own]
+        profiles.append((node, len(shingles), neardup.profile(shingles), np.array(own, np.int64).tobytes()))
+        counts.append(np.frombuffer(profiles[-1][2], np.uint8).astype(int))
+        keys.append(set(own))
+    fit = lambda a, b: abs(counts[a] - counts[b]).sum() / 200 <= 1 / 9 + 1e-9
+    want = sorted((bytes([a]), bytes([b])) for a in range(40) for b in range(a) if keys[a] & keys[b] and fit(a, b))
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    near = neardup._open_pairs(frame(members, "bucket long, node binary"), frame(profiles, "node binary, size int, profile binary, buckets binary"), frame([], "a binary, b binary"), 0.8, None)
+    assert sorted((bytes(r.a), bytes(r.b)) for r in near.collect()) == want and len(want) > 300
+
+
 # --- vectors
 
 
