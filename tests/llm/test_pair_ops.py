@@ -245,6 +245,36 @@ def test_neardup_takes_an_open_pair_in_one_bucket(spark):
     assert sorted((bytes(r.a), bytes(r.b)) for r in near.collect()) == want and len(want) > 300
 
 
+def test_neardup_deals_members_once_and_only_while_pairs_are_left(spark, monkeypatch):
+    """Each pair in two components meets once, members of a small bucket are dealt once, and later rounds deal only those that have pairs left."""
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    sizes = {1: 8, 2: 9, 3: 23}
+    members = [(b, bytes([b, k])) for b, n in sizes.items() for k in range(n)]
+    links = [(bytes([b, k]), bytes([b, 0])) for b, n in sizes.items() for k in range(1, n // 2)]
+    rows = neardup._dealt(frame(members, "bucket long, node binary"), frame(links, "a binary, b binary")).collect()
+    assert sorted(bytes(r.node) for r in rows if r.bucket == 1) == [n for b, n in members if b == 1]
+    blocks, met = {}, []
+    for r in rows:
+        blocks.setdefault((r.bucket, r.home, r.p, r.q), []).append(r)
+    for (_, home, p, q), block in blocks.items():
+        for i, x in enumerate(block):
+            met += [tuple(sorted((bytes(x.node), bytes(y.node)))) for y in block[:i] if x.component != y.component and (not home and p == q or x.side != y.side)]
+    home = {n for link in links for n in link}
+    assert sorted(met) == sorted((x, y) for b, x in members for c, y in members if b == c and x < y and not (x in home and y in home))
+    monkeypatch.undo()
+    rnd = random.Random(11)
+    word = lambda: f"v{rnd.randrange(10**9)}"
+    template, texts = [word() for _ in range(230)], []
+    for _ in range(30):  # 226 of 256 shingles are shared: 226 / 286, which the counts seldom rule out
+        own = [word() for _ in range(30)]
+        texts += [" ".join(template + own), " ".join(template + own[:-1] + [word()])]
+    docs, dealt, open_pairs = list(enumerate(texts)), [], neardup._open_pairs
+    monkeypatch.setattr(neardup, "_open_pairs", lambda members, *a: dealt.append(members.count()) or open_pairs(members, *a))
+    assert {r.doc_id: r.class_id for r in neardup.classes(frame(docs, "doc_id long, text string")).collect()} == brute_classes(docs)
+    assert len(dealt) > 1 and all(b < a for a, b in zip(dealt, dealt[1:])), dealt
+
+
 # --- vectors
 
 
