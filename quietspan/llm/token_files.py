@@ -42,17 +42,134 @@ SHARD_IDS = 1 << 20
 BLOCK_DOCS = 512
 CACHE_CHUNKS = 250_000
 MAGIC = b"QSRP2\0\0\0"
+#: Rules of up to so many ids are expanded once for a whole shard.
+_FEW = 32
 #: Re-Pair goes on until no pair of a shard occurs so often.
 MIN_COUNT = 2
 #: Byte classes of plain texts: white space, letters, digits, other marks; 4 is anything that is not plain.
 _CLASS = bytes(0 if b in b" \n\t\r" else 4 if b < 32 or b == 127 or b == 0xC2 or b > 0xC3 else 1 if b >= 128 or chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256))
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: What makes a text not plain beside its bytes: the two marks among the letters, contractions, special tokens.
-_NOT_PLAIN = re.compile(rb"\xc3[\x97\xb7]|'[stmdrlvSTMDRLV]|<\|")
+_CONTRACTION = re.compile(rb"'[stmdrlvSTMDRLV]")
+#: The first n of eight bytes.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 #: Texts with other white space than this, with control characters that some take for it, or with "<|" go to the library whole.
 _ODD = re.compile(r"[^\S \n\t\r]|<\|")
 
 
+def _not_plain(text: bytes, kinds: bytes) -> bool:
+    """Beside its bytes the two marks among the letters, special tokens and contractions make a text not plain."""
+    return b"\x04" in kinds or b"\xc3\x97" in text or b"\xc3\xb7" in text or b"<|" in text or b"'" in text and _CONTRACTION.search(text) is not None
+
+
+class WordTable:
+    """A bounded table of plain words' ids that a block's words are looked up in all at once.
+
+    A word of up to 24 bytes is its own key: three numbers of eight bytes, filled up with zeros, which no plain
+    word holds. Longer ones are told apart in each block and kept by their bytes. A slot is found by a hash
+    and, where others lie there, the ones after it. When over ``limit`` words are in, the half that was used
+    longest ago is dropped.
+    """
+
+    def __init__(self, limit: int):
+        self.limit, self.mask = limit, (1 << max(2 * limit, 1024).bit_length()) - 1
+        self.long = Recent(limit // 8)
+        self._reset()
+
+    def _reset(self) -> None:
+        self.slots = np.full(self.mask + 1, -1, np.int32)
+        self.keys, self.base, self.size, self.used = np.empty((3, 0), np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.pool, self.clock = np.empty(0, np.uint32), 0
+
+    def turn(self) -> None:
+        self.long.turn()
+        self.clock += 1
+        if len(self.base) <= self.limit:
+            return
+        keep = np.flatnonzero(self.used > np.partition(self.used, len(self.used) // 2)[len(self.used) // 2])
+        keys, base, size, used, pool, clock = self.keys[:, keep], self.base[keep], self.size[keep], self.used[keep], self.pool, self.clock
+        self._reset()
+        self.clock, self.used = clock, used
+        self._add(keys, pool[_ranges(base, size)], size)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        x = rolling.mix(keys[0] + rolling.mix(keys[1] ^ (keys[2] * np.uint64(0x9E3779B97F4A7C15))))
+        return (x & np.uint64(self.mask)).astype(np.int64)
+
+    def _at(self, keys: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 where it is not in."""
+        slot = self._slot(keys)
+        out = self.slots.take(slot).astype(np.int64)
+        here = np.flatnonzero(out >= 0)
+        while len(here):
+            found = out[here]
+            wrong = self.keys[0].take(found) != keys[0].take(here)
+            more = np.flatnonzero(left.take(here) >= 8)  # fewer bytes are told apart by the first number
+            wrong[more] |= (self.keys[1].take(found[more]) != keys[1].take(here[more])) | (self.keys[2].take(found[more]) != keys[2].take(here[more]))
+            here = here[wrong]
+            slot[here] = (slot[here] + 1) & self.mask
+            out[here] = self.slots[slot[here]]
+            here = here[out[here] >= 0]
+        return out
+
+    def _add(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """Puts distinct keys in that are not there yet; each pass gives every free slot to one of those that ask for it."""
+        number, slot = len(self.base) + np.arange(keys.shape[1]), self._slot(keys)
+        self.base = np.concatenate((self.base, len(self.pool) + np.cumsum(size) - size))
+        self.keys, self.size, self.pool = np.concatenate((self.keys, keys), 1), np.concatenate((self.size, size)), np.concatenate((self.pool, ids))
+        self.used = np.concatenate((self.used, np.full(len(self.base) - len(self.used), self.clock)))
+        if 2 * len(self.base) > self.mask:  # a block of very many words
+            self.mask = (1 << (4 * len(self.base)).bit_length()) - 1
+            self.slots, number = np.full(self.mask + 1, -1, np.int32), np.arange(len(self.base))
+            slot = self._slot(self.keys)
+        while len(number):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = number[free]
+            rest = self.slots[slot] != number
+            number, slot = number[rest], (slot[rest] + 1) & self.mask
+
+    def find(self, text: bytes, start: np.ndarray, stop: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(base, size, pool): the ids of text[start:stop] are pool[base:base + size]. ``encode`` gives the ids of words that are not in."""
+        eights, left = rolling.eights(text), stop - start
+        keys = np.zeros((3, len(start)), np.uint64)
+        keys[0] = eights[start] & _FIRST.take(left, mode="clip")
+        more = np.flatnonzero(left > 8)
+        keys[1, more] = eights[start[more] + 8] & _FIRST.take(left[more] - 8, mode="clip")
+        more = more[left[more] > 16]
+        keys[2, more] = eights[start[more] + 16] & _FIRST.take(left[more] - 16, mode="clip")
+        at = self._at(keys, left)
+        long = more[left[more] > 24]
+        at[long] = 0
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            first, which = rolling.distinct(text, start[new], stop[new])
+            first, at[new] = new[first], len(self.base) + which
+            self._add(keys[:, first], *encode(text, start[first], stop[first]))
+        if not len(long):
+            self.used[at] = self.clock
+            return self.base.take(at), self.size.take(at), self.pool
+        short = np.delete(np.arange(len(at)), long)
+        self.used[at[short]] = self.clock
+        first, which = rolling.distinct(text, start[long], stop[long])
+        words = [text[a:b] for a, b in zip(start[long[first]].tolist(), stop[long[first]].tolist())]
+        known, unknown = self.long.now, self.long.unknown(words)
+        for w in unknown:
+            known[w] = encode(w, np.zeros(1, np.int64), np.full(1, len(w)))[0]
+        ids = [known[w] for w in words]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        base, n = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        base[short], n[short] = self.base[at[short]], self.size[at[short]]
+        base[long], n[long] = (len(self.pool) + np.cumsum(size) - size)[which], size[which]
+        return base, n, np.concatenate((self.pool, *ids))
+
+
+def _ranges(base: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """base[0], base[0] + 1, ... of ``size[0]`` numbers, then those of the next."""
+    ends = np.cumsum(size)
+    at = np.repeat(base - (ends - size), size)
+    at += np.arange(len(at))
+    return at
+
+
 class Encoder:
     """The tokenizers library behind tables of the chunks and words it has encoded lately.
 
@@ -70,16 +187,27 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         parts = json.loads(spec)["pre_tokenizer"]
         pattern = next(p["pattern"]["Regex"] for p in parts.get("pretokenizers", [parts]) if p["type"] == "Split")
         self.pattern = regex.compile(pattern)
         self.letters = {b: c for c, b in byte_alphabet().items()}
-        self.chunks, self.words, self.raw = Recent(CACHE_CHUNKS // 2), Recent(CACHE_CHUNKS // 2), Recent(CACHE_CHUNKS)
+        self.chunks, self.words, self.raw = Recent(CACHE_CHUNKS // 2), Recent(CACHE_CHUNKS // 2), WordTable(2 * CACHE_CHUNKS)
 
     def _word(self, word: str) -> bytes:
         shown = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return array("I", [t.id for t in self.tokenize(shown)]).tobytes()
+
+    def _words(self, text: bytes, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each) of plain words text[start:stop]."""
+        shown, tokenize, letters = text.decode("latin-1"), self.tokenize, self.letters
+        ids, size = [], []
+        for a, b in zip(start.tolist(), stop.tolist()):
+            word = shown[a:b]
+            tokens = tokenize(word if word.isascii() else word.translate(letters))
+            ids += [t.id for t in tokens]
+            size.append(len(tokens))
+        return np.array(ids, np.uint32), np.array(size, np.int64)
 
     def _cut(self, chunk: str) -> list[str]:
         if chunk.isalpha():
@@ -108,37 +236,38 @@ class Encoder:
         """Ids of UTF-8 texts, little-endian unsigned 32-bit."""
         for cache in (self.chunks, self.words, self.raw):
             cache.turn()
-        plain = [b"\x04" not in t.translate(_CLASS) and not _NOT_PLAIN.search(t) for t in raw]
-        fast = iter(self._plain([t for t, p in zip(raw, plain) if p]))
+        whole = b"\n".join(raw)
+        if not _not_plain(whole, kinds := whole.translate(_CLASS)):
+            return self._plain(raw, whole, kinds)
+        plain = [not _not_plain(t, t.translate(_CLASS)) for t in raw]
+        some = [t for t, p in zip(raw, plain) if p]
+        whole = b"\n".join(some)
+        fast = iter(self._plain(some, whole, whole.translate(_CLASS)))
         slow = iter(self._others([t.decode("utf-8", "replace") for t, p in zip(raw, plain) if not p]))
         return [next(fast if p else slow) for p in plain]
 
-    def _plain(self, raw: list[bytes]) -> list[bytes]:
+    def _plain(self, raw: list[bytes], whole: bytes, kinds: bytes) -> list[bytes]:
+        """``whole`` is the texts joined by line feeds, ``kinds`` its byte classes; lower-casing changes no class."""
         if not raw:
             return []
-        data = np.frombuffer(b"\n".join(raw).translate(_LOWER), np.uint8).copy()
-        data[1:][(data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)] += 0x20
-        kind = np.frombuffer(data.tobytes().translate(_CLASS), np.uint8)
-        before = np.concatenate(([0], kind[:-1])) if len(kind) else kind
-        start = np.flatnonzero((kind != 0) & ((kind != before) | (kind == 2)))
+        text = whole.translate(_LOWER)
+        if b"\xc3" in text:
+            data = np.frombuffer(text, np.uint8).copy()
+            data[1:][(data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)] += 0x20
+            text = data.tobytes()
+        kind = np.frombuffer(kinds, np.uint8)
+        word = kind != 0
+        edge = np.ones(len(kind) + 1, bool)
+        np.not_equal(kind[1:], kind[:-1], out=edge[1:-1])
+        edge[:-1] |= kind == 2
+        start, stop = np.flatnonzero(edge[:-1] & word), np.flatnonzero(edge[1:] & word) + 1
         if not len(start):
             return [b""] * len(raw)
-        stop = np.flatnonzero((kind != 0) & np.concatenate(((kind[1:] != kind[:-1]) | (kind[1:] == 2), [True]))) + 1
-        text = data.tobytes()
-        first, which = rolling.distinct(text, start, stop)
-        words = [text[a:b] for a, b in zip(start[first].tolist(), stop[first].tolist())]
-        new = self.raw.unknown(words)
-        now = self.raw.now
-        now.update((w, self._word(w.decode())) for w in new)
-        codes = [now[w] for w in words]
-        size = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
-        pool, base = np.frombuffer(b"".join(codes), "<u4"), np.cumsum(size) - size
-        n = size[which]
-        ends = np.cumsum(n)
-        ids = pool[np.repeat(base[which] - (ends - n), n) + np.arange(ends[-1])]
+        base, n, pool = self.raw.find(text, start, stop, self._words)
+        ids, ends = pool.take(_ranges(base, n)).tobytes(), np.cumsum(n)
         texts = np.cumsum([len(t) + 1 for t in raw])
-        cut = np.concatenate(([0], ends))[np.searchsorted(start, np.concatenate(([0], texts)))]
-        return [ids[a:b].tobytes() for a, b in zip(cut, cut[1:])]
+        cut = (4 * np.concatenate(([0], ends))[np.searchsorted(start, np.concatenate(([0], texts)))]).tolist()
+        return [ids[a:b] for a, b in zip(cut, cut[1:])]
 
     def _others(self, texts: list[str]) -> list[bytes]:
         cut = [None if _ODD.search(t) else t.split() for t in texts]
@@ -158,6 +287,9 @@ def _encoder(key: str, shared) -> Encoder:
 # --- the grammar
 
 
+_NONE = np.iinfo(np.int32).max
+
+
 def _grouped(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(places in the order of their keys, keys in order). Keys of ``bits`` bits are sorted with their place beside them where both fit."""
     room = len(key).bit_length()
@@ -177,47 +309,129 @@ def compress(ids: np.ndarray, base: int, least: int = MIN_COUNT) -> tuple[np.nda
     Only pairs that a replacement has made, and repeated ones that wait, can still repeat, so a round looks
     at those alone. Ends when no pair occurs ``least`` times without overlap.
     """
+    x, look, top, rules = ids.astype(np.int64), None, base, []
+    while (step := _round(x, look, top, least)) is not None:
+        x, look, pairs = step
+        rules.append(pairs)
+        top += len(pairs)
+        if len(look) < len(x) // 8:
+            x, more = _compress_sparse(x, look, top, least)
+            rules += more
+            break
+    return x.astype(np.uint32), np.concatenate([*rules, np.empty((0, 2), np.int64)]).astype(np.uint32)
+
+
+def _ranked(key: np.ndarray, bits: int, count: np.ndarray | None, least: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """(rank of each place's pair, pairs by rank), most frequent first; ``_NONE`` for pairs of fewer counted places than ``least``. None if all are."""
+    order, ordered = _grouped(key if count is None else key[count], bits)
+    new = np.empty(len(ordered), bool)
+    new[:1] = True
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    counts = np.diff(first, append=len(ordered))
+    some = np.flatnonzero(counts >= least)
+    if not len(some):
+        return None
+    some = some[np.argsort(-counts[some], kind="stable")]
+    number = np.full(len(first), _NONE, np.int32)
+    number[some] = np.arange(len(some), dtype=np.int32)
+    rank = np.empty(len(ordered), np.int32)
+    rank[order] = np.repeat(number, counts)
+    if count is not None:
+        rank_all = np.full(len(key), _NONE, np.int32)
+        rank_all[count] = rank
+        rank = rank_all
+    return rank, ordered[first[some]]
+
+
+def _counted(a: np.ndarray, equal: np.ndarray, joined: np.ndarray) -> np.ndarray | None:
+    """Of pairs of equal symbols next to one another (``equal`` has their rows, ``joined`` whether the row before is such a neighbour) every second counts. None: all count."""
+    equal = equal[joined & (equal > 0)]
+    equal = equal[a[equal - 1] == a[equal]]
+    if not len(equal):
+        return None
+    run, at = np.zeros(len(a), bool), np.arange(len(a))
+    run[equal] = True
+    return (at - np.maximum.accumulate(np.where(run, 0, at))) % 2 == 0
+
+
+def _round(x: np.ndarray, look: np.ndarray | None, top: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """A round over a whole sequence: (new sequence, its places where a pair may repeat, pairs). ``look`` has the places to look at, None is all."""
+    n, bits = len(x), top.bit_length()
+    if n < 2:
+        return None
+    if look is None:
+        a, b, joined = x[:-1], x[1:], True
+    else:
+        a, b = x.take(look), x.take(look + 1)
+    equal = np.flatnonzero(a == b)
+    if look is not None:
+        joined = look[equal - 1] == look[equal] - 1
+    count = _counted(a, equal, joined)
+    key = a << bits
+    key |= b
+    if (ranked := _ranked(key, 2 * bits, count, least)) is None:
+        return None
+    mine, pairs = ranked
+    odd = np.zeros(0, np.int64)
+    if count is not None:
+        odd = np.flatnonzero(~count)
+        odd = odd[mine[odd - 1] < _NONE]
+        odd = odd if look is None else look[odd]
+    rank = np.full(n + 1, _NONE, np.int32)  # at place + 1, so that the first has one before it
+    if look is None:
+        rank[1:-1] = mine
+    else:
+        rank[look + 1] = mine
+    here = rank[1:]
+    take = here < rank[:-1]
+    take[:-1] &= here[:-1] <= here[1:]
+    chosen = np.flatnonzero(take)
+    got = np.bincount(here[chosen], minlength=len(pairs))
+    enough = got >= least  # the most frequent pair gets all its places, others may have to wait
+    chosen = chosen[enough[here[chosen]]]
+    new = top + np.cumsum(enough) - 1
+    again = here < _NONE
+    again[odd] = True
+    again[np.maximum(chosen - 1, 0)] = True  # one that is not left goes; the new one before it has its place already
+    x = x.copy()
+    x[chosen] = new[here[chosen]]
+    left = np.ones(n, bool)
+    left[chosen + 1] = False
+    again = again[left]
+    again[-1] = False  # the last has none after it
+    pairs = pairs[enough]
+    return x[left], np.flatnonzero(again), np.stack((pairs >> bits, pairs & ((1 << bits) - 1)), 1)
+
+
+def _compress_sparse(ids: np.ndarray, place: np.ndarray, top: int, least: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The rounds that look at few places: what is replaced is unlinked from its neighbours, and nothing else moves."""
     n = len(ids)
-    x = np.append(ids.astype(np.int64), 0)
+    x = np.append(ids, 0)
     after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)  # neighbours among the symbols that are left; n is the end
-    left, look = np.ones(n + 1, bool), np.zeros(n + 1, bool)
-    none = np.iinfo(np.int32).max
-    rank_at = np.full(n + 2, none, np.int32)  # the last one is for what is before the first
-    rules, top, place = [], base, np.arange(max(n - 1, 0))
+    left = np.ones(n + 1, bool)
+    rank_at = np.full(n + 2, _NONE, np.int32)  # the last one is for what is before the first
+    rules = []
     while len(place):
         a, b = x[place], x[after[place]]
         bits = top.bit_length()
         key = a << bits | b
-        count = np.ones(len(place), bool)
         equal = np.flatnonzero(a == b)
-        equal = equal[equal > 0]
-        equal = equal[(a[equal - 1] == a[equal]) & (place[equal - 1] == before[place[equal]])]
-        if len(equal):  # a pair of equal symbols next to one: every second of them counts
-            run, at = np.zeros(len(place), bool), np.arange(len(place))
-            run[equal] = True
-            count = (at - np.maximum.accumulate(np.where(run, 0, at))) % 2 == 0
-        order, ordered = _grouped(key if count.all() else key[count], 2 * bits)
-        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        counts = np.diff(np.append(first, len(ordered)))
-        some = np.flatnonzero(counts >= least)
-        if not len(some):
+        count = _counted(a, equal, place[equal - 1] == before[place[equal]])
+        if (ranked := _ranked(key, 2 * bits, count, least)) is None:
             break
-        some = some[np.argsort(-counts[some], kind="stable")]
-        number = np.full(len(first), none, np.int32)
-        number[some] = np.arange(len(some))
-        rank = np.empty(len(ordered), np.int32)
-        rank[order] = np.repeat(number, counts)
-        rank_all = np.full(len(place), none, np.int32)
-        rank_all[count] = rank
-        uncounted = np.flatnonzero(~count)
-        odd = place[uncounted[rank_all[uncounted - 1] < none]]
-        waits = rank_all < none
+        rank_all, pairs = ranked
+        odd = place[:0]
+        if count is not None:
+            uncounted = np.flatnonzero(~count)
+            odd = place[uncounted[rank_all[uncounted - 1] < _NONE]]
+        waits = rank_all < _NONE
         mine, here = rank_all[waits], place[waits]
         rank_at[here] = mine
         take = (mine < rank_at[before[here]]) & (mine <= rank_at[after[here]])
-        rank_at[here] = none
-        got = np.bincount(mine[take], minlength=len(some))
-        enough = got >= least  # the most frequent pair gets all its places, others may have to wait
+        rank_at[here] = _NONE
+        got = np.bincount(mine[take], minlength=len(pairs))
+        enough = got >= least
         take &= enough[mine]
         new = top + np.cumsum(enough) - 1
         chosen = here[take]
@@ -226,15 +440,13 @@ def compress(ids: np.ndarray, base: int, least: int = MIN_COUNT) -> tuple[np.nda
         left[second] = False
         after[chosen] = after[second]
         before[after[second]] = chosen
-        pairs = ordered[first[some[enough]]]
+        pairs = pairs[enough]
         rules.append(np.stack((pairs >> bits, pairs & ((1 << bits) - 1)), 1))
         top += len(pairs)
-        look[here[~take]] = look[odd] = look[chosen] = look[before[chosen]] = True
-        look[-1] = False  # before the first, and the end
-        place = np.flatnonzero(look & left)
-        look[:] = False
-        place = place[after[place] < n]
-    return x[:n][left[:n]].astype(np.uint32), np.concatenate([*rules, np.empty((0, 2), np.int64)]).astype(np.uint32)
+        changed = np.concatenate((here[~take], odd, chosen, before[chosen]))
+        changed = changed[changed >= 0]
+        place = np.unique(changed[left[changed] & (after[changed] < n)])
+    return x[:n][left[:n]], rules
 
 
 def lengths(rules: np.ndarray, base: int) -> np.ndarray:
@@ -312,7 +524,22 @@ class Shard:
         self.starts = np.cumsum(self.counts) - self.counts
 
     def all_tokens(self) -> np.ndarray:
-        return expand(self.sequence, self.rules, self.sizes, self.base)
+        """Rules of few ids are expanded once and copied to their places, longer ones by themselves."""
+        few = self.sizes <= _FEW
+        size = np.concatenate((np.ones(self.base, np.int64), np.where(few, self.sizes, 0)))
+        pool = np.concatenate((np.arange(self.base, dtype=np.uint32), expand(np.flatnonzero(few) + self.base, self.rules, self.sizes, self.base)))
+        n = size.take(self.sequence)
+        own = pool.take(_ranges((np.cumsum(size) - size).take(self.sequence), n))
+        many = np.flatnonzero(n == 0)
+        if not len(many):
+            return own
+        full = np.diff(self.ends, prepend=0)
+        out, here = np.empty(int(self.ends[-1]), np.uint32), _ranges((self.ends - full)[many], full[many])
+        out[here] = expand(self.sequence[many], self.rules, self.sizes, self.base)
+        rest = np.ones(len(out), bool)
+        rest[here] = False
+        out[rest] = own
+        return out
 
     def tokens(self, i: int) -> np.ndarray:
         a, n = int(self.starts[i]), int(self.counts[i])

@@ -322,6 +322,55 @@ def test_grammar_roundtrip_and_random_access():
         assert [shard.tokens(i).astype("<u4").tobytes() for i in range(len(parts))] == parts
 
 
+def test_word_table():
+    rnd = random.Random(8)
+    numbers: dict[bytes, list[int]] = {}
+    asked: list[bytes] = []
+
+    def encode(text, start, stop):
+        words = [text[a:b] for a, b in zip(start.tolist(), stop.tolist())]
+        asked.extend(words)
+        ids = [numbers.setdefault(w, [rnd.randrange(60_000) for _ in range(rnd.randint(1, 5))]) for w in words]
+        return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids])
+
+    stems = ["a" * n for n in (1, 7, 8, 9, 15, 16, 17, 23, 24, 25, 31, 300)]
+    table = token_files.WordTable(2000)
+    for block in range(12):
+        words = [(rnd.choice(stems) + rnd.choice(["", "b", "bb", "é"]) + str(rnd.randrange(100 * block + 1))).encode() for _ in range(3000)]
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        table.turn()
+        asked.clear()
+        base, size, pool = table.find(b" ".join(words), ends - [len(w) for w in words], ends, encode)
+        assert [pool[b : b + n].tolist() for b, n in zip(base.tolist(), size.tolist())] == [numbers[w] for w in words]
+        assert len(asked) == len(set(asked))
+        asked.clear()
+        table.find(b" ".join(words), ends - [len(w) for w in words], ends, encode)
+        assert not asked  # all are in
+    assert len(table.base) < 2000 + 3000
+
+
+def test_known_words_are_not_encoded_again():
+    with open(WORDS, encoding="utf-8") as f:
+        encoder = token_files.Encoder(f.read())
+    called, tokenize = [], encoder.tokenize
+    encoder.tokenize = lambda word: called.append(word) or tokenize(word)
+    texts = ["Some words, some más WORDS 12.".encode(), b"", b"words of unusuallylongunspacedwordsthatgoon"]
+    first = encoder.encode(texts)
+    assert len(called) == len(set(called)) == 9
+    assert encoder.encode(texts[::-1]) == first[::-1] and len(called) == 9
+    for text, code in zip(texts, first):
+        assert np.frombuffer(code, "<u4").tolist() == encoder.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+
+
+def test_rules_of_many_ids_are_read_back():
+    rng = np.random.default_rng(5)
+    passage, other = rng.integers(0, 900, 100).astype("<u4"), rng.integers(0, 900, 300).astype("<u4")
+    for ids in (np.concatenate((passage, other[:100], passage, other[100:], passage)), np.concatenate((passage, passage)), other):
+        shard = token_files.Shard(token_files.write_shard([1], [ids.tobytes()]))
+        assert shard.all_tokens().tolist() == shard.tokens(0).tolist() == ids.tolist()
+    assert len(shard.rules) < 100
+
+
 @pytest.mark.parametrize("ids", [np.zeros(1 << 20, "<u4"), np.tile(np.arange(50, dtype="<u4"), 20_000), np.random.default_rng(3).integers(0, 3, 50_000).astype("<u4"), np.array([1, 1, 1, 2, 1, 1], "<u4")])
 def test_no_pair_is_left(ids):
     base = int(ids.max()) + 1
