@@ -1,15 +1,15 @@
 """Byte-level BPE encoding and decoding by recursive DuckDB queries per partition.
 
-Each text is cut by the tokenizer's pattern. The distinct pieces a task has not met yet become
-token-position rows (piece, pos, id); a recursive query joins neighbouring rows with the merge table
-and contracts each piece's leftmost pair of least rank, until no piece has a pair left. Decoding
-joins ids with the vocabulary and aggregates their bytes in order.
+Each text is cut by the tokenizer's pattern. The distinct pieces a task has not met yet become rows
+(piece, ids, ranks of neighbours); a step of a recursive query contracts each piece's leftmost pair of
+least rank and joins the new token's two neighbours with the merge table, until no piece has a pair left.
+Decoding joins ids, ``ABREAST`` neighbours to a row, with the vocabulary and aggregates their bytes in order.
 
 Words of over ``WINDOW`` bytes (unspaced scripts, runs) are encoded in overlapping windows. Where the tokens of two neighbours share one in the overlap, left tokens up to it
 and right tokens after it join: ids are the encoding of their bytes exactly when each two neighbours
 are the encoding of theirs, and in both windows they are. Windows that share no token (periodic text) are
 encoded again as one, up to ``JOINED`` bytes; beyond that the right one starts anew at a token of the left
-one. In windows a step contracts all places of the least rank, left to right without overlap: the leftmost
+one. Windows are token-position rows, and a step contracts all places of the least rank, left to right without overlap: the leftmost
 one, then the next, as no merge makes a pair of its own rank or a lower one; so a run of n equal bytes
 takes log n steps.
 
@@ -37,21 +37,38 @@ from quietspan.llm import rolling
 from quietspan.llm.rows import append_columns
 
 CACHE_ENTRIES = 300_000
-#: Rows of all steps of one recursion.
+#: Token places of all steps of one recursion.
 BLOCK_ROWS = 1 << 21
 BLOCK_TOKENS = 1 << 18
+#: Neighbouring tokens that are decoded in one row.
+ABREAST = 4
 BLOCK_CHARS = 1 << 21
 BLOCK_TEXTS = 1024
 WINDOW, OVERLAP, JOINED = 256, 64, 1 << 16
 #: Unicode White_Space, which the pattern's \s stands for.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
-_LEFTMOST = "SELECT s.step, s.piece, s.pos, s.k IS NOT DISTINCT FROM g.least AS take, s.k, s.id FROM state s JOIN least g USING (piece)"
+#: State: a word's ids with -1 at both ends, the rank of each pair of neighbours (null: none) and the least one; a word without any is done.
+_ENCODE = """
+WITH RECURSIVE state(piece, ids, ranks, least) AS (
+  SELECT piece, ids, ranks, list_min(ranks) FROM words
+  UNION ALL
+  SELECT piece, ids, ranks, list_min(ranks)
+  FROM (
+    SELECT s.piece, list_concat(s.ids[1:s.p - 1], [s.least], s.ids[s.p + 2:]) AS ids,
+      list_concat(s.ranks[1:s.p - 2], [l.rank, r.rank], s.ranks[s.p + 2:]) AS ranks
+    FROM (SELECT *, list_position(ranks, least) AS p FROM state WHERE least IS NOT NULL) s
+    LEFT JOIN merges l ON l.l = s.ids[s.p - 1] AND l.r = s.least
+    LEFT JOIN merges r ON r.l = s.least AND r.r = s.ids[s.p + 2]
+  )
+)
+SELECT piece, ids FROM state WHERE least IS NULL ORDER BY piece
+"""
 _EVERY = """SELECT step, piece, pos, k, id, same AND (rn - coalesce(max(CASE WHEN NOT same THEN rn END) OVER (ORDER BY pos), 0)) % 2 = 1 AS take
     FROM (SELECT s.*, coalesce(s.k >> 32 = g.least >> 32, false) AS same, row_number() OVER (ORDER BY pos) AS rn
       FROM state s JOIN least g USING (piece))"""
 #: State: k is the rank of the pair that starts at a row, then its place; a word without any k is done. Ends after {steps} steps.
-_ENCODE = """
+_ENCODE_WINDOWS = """
 WITH RECURSIVE state(step, piece, pos, id, k) AS (
   SELECT 0, t.piece, t.pos, t.id, (m.rank::BIGINT << 32) | t.pos
   FROM (SELECT piece, pos, id, CASE WHEN lead(piece) OVER w = piece THEN lead(id) OVER w END AS nxt
@@ -67,7 +84,7 @@ WITH RECURSIVE state(step, piece, pos, id, k) AS (
         CASE WHEN take THEN lead(piece, 2) OVER w ELSE lead(piece) OVER w END AS beyond
       FROM (
         WITH least AS (SELECT piece, min(k) AS least FROM state WHERE step < {steps} GROUP BY piece HAVING min(k) IS NOT NULL)
-        SELECT step, piece, pos, take, CASE WHEN take THEN k >> 32 ELSE id END AS merged FROM ({chosen}))
+        SELECT step, piece, pos, take, CASE WHEN take THEN k >> 32 ELSE id END AS merged FROM ({every}))
       WINDOW w AS (ORDER BY pos)
     )
     WHERE NOT gone
@@ -78,7 +95,12 @@ SELECT piece, id, max(k) OVER () IS NULL AS done FROM state
 JOIN (SELECT piece, max(step) AS step FROM state GROUP BY piece) USING (piece, step)
 ORDER BY pos
 """
-_DECODE = "SELECT t.doc, string_agg(v.hex, '' ORDER BY t.pos) AS hex FROM ids t JOIN vocabulary v USING (id) GROUP BY t.doc ORDER BY t.doc"
+#: Bytes are characters of their numbers here.
+_DECODE = f"""
+SELECT t.doc, string_agg(concat({", ".join(f"v{i}.bytes" for i in range(ABREAST))}), '' ORDER BY t.pos) AS bytes
+FROM ids t {" ".join(f"LEFT JOIN vocabulary v{i} ON v{i}.id = t.id{i}" for i in range(ABREAST))}
+GROUP BY t.doc ORDER BY t.doc
+"""
 
 
 def load_ranks(path: str) -> list[tuple[bytes, int]]:
@@ -127,11 +149,16 @@ class Coder:
         spaced = pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
         self.pattern = regex.compile(spaced)
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        #: Ranks of two neighbouring bytes, -1 where they do not merge.
+        self.two = np.full(1 << 16, -1, np.int32)
+        for t, r in ranks:
+            if len(t) == 2:
+                self.two[t[0] << 8 | t[1]] = r
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in ranks for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         left, right, rank = np.array(pairs, np.int32).reshape(-1, 3).T
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         self._table("merges", pa.table({"l": left, "r": right, "rank": rank}))
-        self._table("vocabulary", pa.table({"id": pa.array([r for _, r in ranks], pa.int32()), "hex": [t.hex() for t, _ in ranks]}))
+        self._table("vocabulary", pa.table({"id": pa.array([r for _, r in ranks], pa.int32()), "bytes": [t.decode("latin-1") for t, _ in ranks]}))
         self.plain, self.spaced, self.pieces, self.raw = Recent(), Recent(), Recent(), Recent()
         self.size = np.zeros(max(self.ranks.values()) + 1, np.int64)
         self.size[list(self.ranks.values())] = list(map(len, self.ranks))
@@ -148,28 +175,45 @@ class Coder:
         finally:
             self.db.unregister(name)
 
-    def _contract(self, pieces: list[bytes], chosen: str = _LEFTMOST) -> list[np.ndarray]:
-        """Ids of each word by the recursion alone. Where its rows would be too many, its last state feeds the next query."""
+    def _contract(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids (little-endian unsigned 32-bit) of each word, a row each."""
+        raw, n = np.frombuffer(b"".join(pieces), np.uint8), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        end, word, place = np.cumsum(n), np.repeat(np.arange(len(n)), n), np.arange(len(raw))
+        ids, ranks = np.full(len(raw) + 2 * len(n), -1, np.int32), np.full(len(raw) + len(n), -1, np.int32)
+        ids[place + 2 * word + 1] = self.bytes[raw]
+        pair = self.two[raw[:-1].astype(np.int64) * 256 + raw[1:]]
+        pair[end[:-1] - 1] = -1
+        ranks[(place + word + 1)[:-1]] = pair
+        lists = lambda end, values: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], end)), pa.int32()), values)
+        count = np.arange(1, len(n) + 1)
+        words = {"piece": count.astype(np.int32), "ids": lists(end + 2 * count, pa.array(ids)), "ranks": lists(end + count, pa.array(ranks, mask=ranks < 0))}
+        out = self._query("words", pa.table(words), _ENCODE)["ids"].combine_chunks()
+        size = np.diff(out.offsets.to_numpy()) - 2
+        found = out.flatten().to_numpy()
+        codes, cut = found[found >= 0].astype("<u4").tobytes(), (4 * np.concatenate(([0], np.cumsum(size)))).tolist()
+        return [codes[a:b] for a, b in zip(cut, cut[1:])]
+
+    def _contract_windows(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Ids of each word, all places of the least rank in a step. Where its rows would be too many, its last state feeds the next query."""
         raw = np.frombuffer(b"".join(pieces), np.uint8)
         piece, ids = np.repeat(np.arange(len(pieces), dtype=np.int32), [len(p) for p in pieces]), self.bytes[raw]
         while True:
             tokens = pa.table({"piece": piece, "pos": np.arange(len(ids)), "id": ids})
-            out = self._query("tokens", tokens, _ENCODE.format(chosen=chosen, steps=max(2, 2 * BLOCK_ROWS // max(len(ids), 1))))
+            out = self._query("tokens", tokens, _ENCODE_WINDOWS.format(every=_EVERY, steps=max(2, 2 * BLOCK_ROWS // max(len(ids), 1))))
             piece, ids = out["piece"].to_numpy(), out["id"].to_numpy().astype(np.int32)
             if not len(ids) or out["done"][0].as_py():
                 cut = np.searchsorted(piece, np.arange(len(pieces) + 1))
                 return [ids[a:b] for a, b in zip(cut, cut[1:])]
 
-    def _blocks(self, pieces: list[bytes], chosen: str = _LEFTMOST) -> list[np.ndarray]:
-        """As ``_contract``, in blocks of so many words that all steps of one have about ``BLOCK_ROWS`` rows at most."""
-        out, block, held = [], [], 0
-        for p in [*pieces, None]:
-            if block and (p is None or held + len(p) * min(len(p), 128) // 2 > BLOCK_ROWS):
-                out += self._contract(block, chosen)
-                block, held = [], 0
-            if p is not None:
-                block.append(p)
-                held += len(p) * min(len(p), 128) // 2
+    def _blocks(self, pieces: list[bytes], contract) -> list:
+        """As ``contract``, in blocks of so many words that all steps of one have about ``BLOCK_ROWS`` places at most."""
+        n = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        held = np.cumsum(n * np.minimum(n, 128) // 2)
+        out, a = [], 0
+        while a < len(pieces):
+            b = max(a + 1, int(np.searchsorted(held, (held[a - 1] if a else 0) + BLOCK_ROWS, "right")))
+            out += contract(pieces[a:b])
+            a = b
         return out
 
     def _starts(self, at: int, ids: np.ndarray) -> np.ndarray:
@@ -188,7 +232,7 @@ class Coder:
         found: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         while True:
             new = [b for b in bounds if b not in found]
-            found |= {b: (ids, self._starts(b[0], ids)) for b, ids in zip(new, self._blocks([word[a:b] for a, b in new], _EVERY), strict=True)}
+            found |= {b: (ids, self._starts(b[0], ids)) for b, ids in zip(new, self._blocks([word[a:b] for a, b in new], self._contract_windows), strict=True)}
             merged = bounds[:1]
             fresh = True  # a window takes in one neighbour a round
             for b in bounds[1:]:
@@ -205,11 +249,11 @@ class Coder:
             here = found[right]
             if (cut := self._shared(last, here)) is None:
                 k = int(np.searchsorted(last[1], left[1] - max((left[1] - left[0]) // 4, OVERLAP), "right")) - 1
-                ids = self._contract([word[last[1][max(k, 0)] : right[1]]], _EVERY)[0]
+                ids = self._contract_windows([word[last[1][max(k, 0)] : right[1]]])[0]
                 here = ids, self._starts(int(last[1][max(k, 0)]), ids)
                 cut = max(k, 0), 0
                 if ids[0] != last[0][cut[0]]:
-                    return self._contract([word], _EVERY)[0]
+                    return self._contract_windows([word])[0]
             done.append(last[0][: cut[0]])
             last = here[0][cut[1] :], here[1][cut[1] :]
         return np.concatenate([*done, last[0]])
@@ -219,7 +263,7 @@ class Coder:
         done = {p: r.to_bytes(4, "little") for p in pieces if (r := self.ranks.get(p)) is not None}
         todo = [p for p in pieces if p not in done]
         short = [p for p in todo if len(p) <= WINDOW]
-        done.update((p, ids.astype("<u4").tobytes()) for p, ids in zip(short, self._blocks(short), strict=True))
+        done.update(zip(short, self._blocks(short, self._contract), strict=True))
         done.update((p, self._windows(p).astype("<u4").tobytes()) for p in todo if len(p) > WINDOW)
         return done
 
@@ -316,16 +360,19 @@ class Coder:
     def decode(self, ids: list[bytes]):
         """(index, bytes) parts of the decoded texts, in order; empty ones give none."""
         size = np.array([len(x) // 4 for x in ids], np.int64)
-        ends = np.cumsum(size)
-        if not len(ids) or not ends[-1]:
+        rows = -(-size // ABREAST)
+        if not rows.sum():
             return
-        owner = np.repeat(np.arange(len(ids), dtype=np.int32), size)
-        flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-        for i in range(0, len(flat), BLOCK_TOKENS):
-            part = slice(i, i + BLOCK_TOKENS)
-            got = self._query("ids", pa.table({"doc": owner[part], "pos": np.arange(len(flat[part]), dtype=np.int32), "id": flat[part]}), _DECODE)
-            for doc, text in zip(got["doc"].to_pylist(), got["hex"].to_pylist(), strict=True):
-                yield doc, bytes.fromhex(text)
+        owner = np.repeat(np.arange(len(ids), dtype=np.int32), rows)
+        flat = np.full(ABREAST * len(owner), -1, np.int32)
+        flat[np.arange(size.sum()) + np.repeat(ABREAST * (np.cumsum(rows) - rows) - (np.cumsum(size) - size), size)] = np.frombuffer(b"".join(ids), "<u4")
+        flat = flat.reshape(-1, ABREAST)
+        for i in range(0, len(flat), BLOCK_TOKENS // ABREAST):
+            part = slice(i, i + BLOCK_TOKENS // ABREAST)
+            given = {"doc": owner[part], "pos": np.arange(len(flat[part]), dtype=np.int32)} | {f"id{k}": np.ascontiguousarray(flat[part, k]) for k in range(ABREAST)}
+            got = self._query("ids", pa.table(given), _DECODE)
+            for doc, text in zip(got["doc"].to_pylist(), got["bytes"].to_pylist(), strict=True):
+                yield doc, text.encode("latin-1")
 
 
 class _Shared:

@@ -126,6 +126,27 @@ def test_bpe_equals_the_library_and_decodes(spark):
     assert bpe.encode(empty(spark), RANKS, vocab.PATTERN).isEmpty()
 
 
+def test_words_are_contracted_in_a_row_each_and_tokens_decoded_several_to_a_row(monkeypatch):
+    import tiktoken
+
+    ranks = bpe.load_ranks(RANKS)
+    enc = tiktoken.Encoding("own", pat_str=vocab.PATTERN, mergeable_ranks=dict(ranks), special_tokens={})
+    coder, given, query = bpe.Coder(ranks, vocab.PATTERN), [], bpe.Coder._query
+    monkeypatch.setattr(bpe.Coder, "_query", lambda self, name, rows, sql: given.append(rows.num_rows) or query(self, name, rows, sql))
+    rnd = random.Random(4)
+    words = list({"".join(rnd.choice(x) for _ in range(rnd.randint(1, 40))) for x in ["abcdefgh", "aab", "eé日\0"] for _ in range(400)})
+    ids = [np.array(enc._encode_single_piece(w), "<u4").tobytes() for w in words]
+    found = coder.encode_pieces([w.encode() for w in words])
+    assert [found[w.encode()] for w in words] == ids
+    assert sum(given) <= len(words)
+    given.clear()
+    texts = {}
+    for i, part in coder.decode([b"", *ids]):
+        texts[i] = texts.get(i, b"") + part
+    assert texts == {i: w.encode() for i, w in enumerate(words, 1)}
+    assert sum(given) <= sum(len(x) // 4 for x in ids) // 4 + len(ids)
+
+
 # --- token counts
 
 
