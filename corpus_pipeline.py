@@ -23,26 +23,26 @@ from quietspan.llm.rows import discard, materialise, table
 
 
 def _apart(docs: DataFrame) -> DataFrame:
-    """The id and text for an operator, and the whole row beside them: no column of a document can clash with a result."""
-    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
+    """The id and text for an operator, and the rest of the row beside them: no column of a document can clash with a result, and a text is there once."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("__doc"))
 
 
-def _rows(out: DataFrame) -> DataFrame:
-    return out.select("__doc.*")
+def _rows(out: DataFrame, docs: DataFrame) -> DataFrame:
+    return out.select(*[F.col("text") if c == "text" else F.col(f"__doc.`{c}`") for c in docs.columns])
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return _rows(toxicity.score(_apart(docs), model).where("not toxic"))
+    return _rows(toxicity.score(_apart(docs), model).where("not toxic"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _rows(neardup.classes(_apart(docs)).where("stays"))
+    return _rows(neardup.classes(_apart(docs)).where("stays"), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(_apart(docs), table(spark, sf_dir, "benchmark"))
-    return _rows(found.where("not contaminated"))
+    return _rows(found.where("not contaminated"), docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    out = bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, keep_ids=True, digests=True)
+    out = bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, keep_ids=True, digests=True, text_too=False)
     return out.select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 

@@ -434,10 +434,10 @@ def _share(df: DataFrame, ranks_path: str) -> _Shared:
     return _Shared(df.sparkSession.sparkContext.broadcast(ranks), key)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", keep_ids: bool = True, digests: bool = False) -> DataFrame:
-    """``docs`` plus ids (little-endian unsigned 32-bit) and, as ``digests``, n_tokens, ids_sha256 and decoded_sha256 (of the bytes decoded from the ids)."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", keep_ids: bool = True, digests: bool = False, text_too: bool = True) -> DataFrame:
+    """``docs`` (without its texts unless ``text_too``) plus ids (little-endian unsigned 32-bit) and, as ``digests``, n_tokens, ids_sha256 and decoded_sha256 (of the bytes decoded from the ids)."""
     fields = T.StructType([_IDS] * keep_ids + _DIGESTS * digests)
-    return append_columns(docs, text_col, fields, partial(_make_encode, _share(docs, ranks_path), pattern, keep_ids, digests), binary=False)
+    return append_columns(docs, text_col, fields, partial(_make_encode, _share(docs, ranks_path), pattern, keep_ids, digests), binary=False, text_too=text_too)
 
 
 def decode(coded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

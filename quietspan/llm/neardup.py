@@ -266,7 +266,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     """``docs`` plus class_id (least id of its class) and stays (true for one row of each class)."""
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
-    found = materialise(append_columns(rows, "text", _SKETCHED, _make_sketched).drop("text"), "neardup-sketches")
+    found = materialise(append_columns(rows, "text", _SKETCHED, _make_sketched, text_too=False), "neardup-sketches")
     wordy = found.where(F.col("node").isNotNull())
     nodes = wordy.groupBy("node").agg(F.min(F.struct("id", "th")).alias("row"), *(F.first(c).alias(c) for c in ("sketches", "size")))
     nodes = materialise(nodes, "neardup-nodes")
@@ -294,7 +294,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     discard(pairs, met)
     if not members.isEmpty():
         open_texts = texts.join(members.select("node").distinct(), "node").join(nodes.select("node", of_sketches.alias("sketched")), "node")
-        profiles = materialise(append_columns(open_texts, "text", _PROFILE, _make_profile).select("node", *_PROFILE.names), "neardup-profiles")
+        profiles = materialise(append_columns(open_texts, "text", _PROFILE, _make_profile, text_too=False).select("node", *_PROFILE.names), "neardup-profiles")
         for most in NEAREST:
             near = materialise(_open_pairs(members, profiles, judged.where("linked"), threshold, most), "neardup-near")
             new = verified(near.where("b is not null").select("a", "b").distinct().join(judged, ["a", "b"], "left_anti"))

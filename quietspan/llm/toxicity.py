@@ -124,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     total = {r[0]: r[1] for r in known.groupBy("__toxic").count().collect()}
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "__id").select("__id", "__toxic", "text")
     fields = T.StructType([T.StructField("features", T.BinaryType())])
-    made = append_columns(texts, "text", fields, lambda: lambda rows, _: [[_packed(t) for t in rows]]).select("__id", "__toxic", "features")
+    made = append_columns(texts, "text", fields, lambda: lambda rows, _: [[_packed(t) for t in rows]], text_too=False).select("__id", "__toxic", "features")
     rows = sorted(((r[0], r[1], bytes(r[2])) for r in made.toLocalIterator()), key=lambda r: r[:2])
     return fit([_unpacked(f) for _, _, f in rows], np.array([t for _, t, _ in rows], int), labelled=(total.get(0, 0), total.get(1, 0)))
 

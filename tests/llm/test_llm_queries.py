@@ -152,6 +152,13 @@ def test_stages_keep_the_columns(spark, sf_dir):
         assert out.columns == docs.columns and [t for _, t in out.dtypes] == [t for _, t in docs.dtypes]
 
 
+def test_stages_hand_texts_over_once(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    apart = corpus_pipeline._apart(docs)
+    assert apart.columns == ["doc_id", "text", "__doc"] and apart.schema["__doc"].dataType.names == [c for c in docs.columns if c != "text"]
+    assert corpus_pipeline._rows(apart, docs).collect() == docs.collect()
+
+
 def test_pipeline_awkward(spark, tmp_path):
     """Nulls, empty and repeated rows, a long text, columns named like results; then empty tables."""
     toxic, fine = "you are vile scum and trash", "a fine day to walk by the river with all my friends"

@@ -10,8 +10,10 @@ import numpy as np
 import public_tokenizers as vocab
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quietspan.llm import bpe, chat, decontaminate, secrets, token_counts, token_files, toxicity
+from quietspan.llm.rows import append_columns
 
 RANKS, WORDS = vocab.path("byte_bpe_50k.tiktoken"), vocab.path("word_bpe_49k.json")
 LONG = "Ab, " * 20_000
@@ -405,3 +407,18 @@ def test_no_pair_is_left(ids):
         seen[pair] = seen.get(pair, 0) + 1
     assert max(seen.values(), default=0) < 2 and (rules < base + np.arange(len(rules))[:, None]).all()
     assert len(ids) < 1_000_000 or len(sequence) + len(rules) < 300
+
+
+# --- what rows carry
+
+
+@pytest.mark.parametrize("text_too", [True, False])
+def test_texts_are_handed_over_once(spark, text_too):
+    texts = ["ab " * 4000] * 20
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    fields = T.StructType([T.StructField("held", T.LongType()), T.StructField("length", T.LongType())])
+    make = lambda: lambda some, batch: [[batch.nbytes] * len(some), [len(t) for t in some]]
+    out = append_columns(df, "text", fields, make, text_too=text_too)
+    assert out.columns == ["doc_id", *["text"] * text_too, "held", "length"]
+    size = sum(map(len, texts))
+    assert all(r.length == len(texts[r.doc_id]) and r.held < 1.2 * size and (not text_too or r.text == texts[r.doc_id]) for r in out.collect())
